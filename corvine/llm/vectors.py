@@ -30,7 +30,7 @@ SHARD_ROWS = 32_768
 #: Points in a leaf of a shard's tree.
 LEAF_ROWS = 96
 #: Pruning factor: 1 is exact.
-RELAX = 0.1
+RELAX = 0.15
 
 _OUT = "id string, neighbour_id string, similarity double, rank int"
 
