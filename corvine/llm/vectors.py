@@ -29,6 +29,8 @@ SAMPLE_ROWS = 16_384
 SHARD_ROWS = 32_768
 #: Points in a leaf of a shard's tree.
 LEAF_ROWS = 96
+#: Neighbours kept beyond k while similarities are in single precision; they are ranked in double.
+SPARE = 3
 #: Pruning factor: 1 is exact.
 RELAX = 0.15
 
@@ -302,7 +304,7 @@ def _search(spark, groups, tree, dim, k, least, margin, shard_rows) -> DataFrame
         x = _matrix(pdf["vec"], dim)
         inside = pdf["stored"].to_numpy(bool)
         place = np.where(inside, np.cumsum(inside) - 1, -1)
-        best = search_shard(x[inside], x, place, k, least, margin)
+        best = search_shard(x[inside], x, place, k + SPARE, least, margin)
         q, j = np.nonzero(best.at >= 0)
         ok = best.sim[q, j] > -2.0
         q, j = q[ok], j[ok]
