@@ -127,22 +127,34 @@ def normal_path(path: Column) -> Column:
     return F.when(~F.array_contains(folded, "//"), F.array_join(folded, "/"))
 
 
-def _first_known(refs: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
-    """(repo_id, source, target): of each reference's candidates the first that is a file, self-edges dropped."""
-    rows = refs.select("repo_id", F.col("path").alias("source"), "specifier", F.posexplode(candidates).alias("pos", "candidate")).filter("candidate is not null")
-    known = files.select("repo_id", F.col("path").alias("candidate")).distinct()
-    met = rows.join(known, ["repo_id", "candidate"])
-    first = met.groupBy("repo_id", "source", "specifier").agg(F.min_by("candidate", "pos").alias("target"))
+def _first_known(refs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(repo_id, source, target): of the files a reference's base may mean, the first; self-edges dropped.
+
+    Instead of spelling out every candidate of each reference, each file is listed under the few bases
+    that lead to it, with the place it takes in the order of candidates.
+    """
+    met = refs.select("repo_id", F.col("path").alias("source"), "specifier", "base").filter("base is not null").join(keys, ["repo_id", "base"])
+    first = met.groupBy("repo_id", "source", "specifier").agg(F.min_by("target", "pos").alias("target"))
     return first.filter(F.col("source") != F.col("target")).select("repo_id", "source", "target").distinct()
 
 
+def _keys(files: DataFrame, tails: list[str]) -> DataFrame:
+    """(repo_id, base, pos, target): bases b with b + tails[pos] == path, of non-empty b."""
+    path = F.col("path")
+    found = [F.when(path.endswith(x) & (F.length(path) > len(x)), F.struct(F.substring(path, 1, F.length(path) - len(x)).alias("base"), F.lit(i).alias("pos"))) for i, x in enumerate(tails)]
+    rows = files.select("repo_id", "path").distinct()
+    return rows.select("repo_id", path.alias("target"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("k")).select("repo_id", "k.base", "k.pos", "target")
+
+
+def _beside(path: Column) -> Column:
+    return F.when(S.directory(path) == "(root)", F.lit("")).otherwise(S.directory(path))
+
+
 def resolve_js(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Relative script imports: the path itself, with eight extensions, and as folders with an index file."""
     refs = refs.filter(F.col("specifier").startswith("."))
-    here = F.when(S.directory(F.col("path")) == "(root)", F.lit("")).otherwise(S.directory(F.col("path")))
-    base = normal_path(F.concat(here, F.lit("/"), F.col("specifier")))
-    tails = [*JS_SUFFIXES, *(f"/index{x}" for x in JS_SUFFIXES[1:])]
-    return _first_known(refs, files, F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat(base, t)))
+    base = normal_path(F.concat(_beside(F.col("path")), F.lit("/"), F.col("specifier")))
+    return _first_known(refs.withColumn("base", base), _keys(files, [*JS_SUFFIXES, *(f"/index{x}" for x in JS_SUFFIXES[1:])]))
 
 
 def resolve_python(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -150,10 +162,8 @@ def resolve_python(refs: DataFrame, files: DataFrame) -> DataFrame:
     refs = refs.filter(F.col("specifier").startswith("."))
     dots = F.length(F.regexp_extract("specifier", r"^(\.+)", 1))
     rest = F.replace(F.regexp_extract("specifier", r"^\.+(.*)$", 1), F.lit("."), F.lit("/"))
-    here = F.when(S.directory(F.col("path")) == "(root)", F.lit("")).otherwise(S.directory(F.col("path")))
-    base = normal_path(F.concat(here, F.lit("/"), F.repeat(F.lit("../"), dots - 1), rest))
-    tails = F.array(*map(F.lit, PY_SUFFIXES))
-    return _first_known(refs, files, F.transform(tails, lambda t: F.concat(base, t)))
+    base = normal_path(F.concat(_beside(F.col("path")), F.lit("/"), F.repeat(F.lit("../"), dots - 1), rest))
+    return _first_known(refs.withColumn("base", base), _keys(files, list(PY_SUFFIXES)))
 
 
 def relative_specifiers(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from corvine.functions import scalars as S
 from corvine.functions import values as V
 from corvine.operators import chunking, dml, graph, reports, retrieval
 from corvine.schemas import SCHEMAS
+from corvine.scratch import cut
 from corvine.sources.tables import rows_once, table
 from corvine.streaming import events
 
@@ -32,12 +33,16 @@ def _with(sql: str, *names: str) -> str:
     return f"WITH {recursive}{head}{', ' + sql[5:].strip() if sql.startswith('WITH ') else ' ' + sql}"
 
 
-def query(sql: str | None, *names: str):
-    """Register a query over the named tables, each id once, with its SQL."""
+def query(sql: str | None, *names: str, raw: bool = False):
+    """Register a query over the named tables, each id once, with its SQL.
+
+    ``raw`` queries get the tables as they are: their operators merge repeated rows themselves, where
+    only ids and scores are left to shuffle.
+    """
 
     def add(f):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return f(*[rows_once(table(spark, root, n)) for n in names])
+            return f(*[table(spark, root, n) if raw else rows_once(table(spark, root, n)) for n in names])
 
         QUERIES[f.__name__] = run
         if sql is not None:
@@ -412,32 +417,32 @@ def _query_vector(c: DataFrame) -> list[float]:
     return list(row["embedding"]) if row else [1.0] + [0.0] * (DIM - 1)
 
 
-@query(f"WITH {_USABLE}, {_vectors(10)} SELECT chunk_id, score, rank FROM vec", "chunks")
+@query(f"WITH {_USABLE}, {_vectors(10)} SELECT chunk_id, score, rank FROM vec", "chunks", raw=True)
 def vector_topk(c):
     return retrieval.vector_search(c, _query_vector(c))
 
 
-@query(f"WITH {_words(['handle'], 10)} SELECT chunk_id, score, rank FROM kw", "chunks")
+@query(f"WITH {_words(['handle'], 10)} SELECT chunk_id, score, rank FROM kw", "chunks", raw=True)
 def keyword_topk_single(c):
     return retrieval.keyword_search(c, ["handle"])
 
 
-@query(f"WITH {_words(TERMS, 10)} SELECT chunk_id, score, rank FROM kw", "chunks")
+@query(f"WITH {_words(TERMS, 10)} SELECT chunk_id, score, rank FROM kw", "chunks", raw=True)
 def keyword_topk_or(c):
     return retrieval.keyword_search(c, TERMS)
 
 
-@query(f"WITH {_words(TERMS, 10, 'AND')} SELECT chunk_id, score, rank FROM kw", "chunks")
+@query(f"WITH {_words(TERMS, 10, 'AND')} SELECT chunk_id, score, rank FROM kw", "chunks", raw=True)
 def keyword_topk_and(c):
     return retrieval.keyword_search(c, TERMS, mode="and")
 
 
-@query(None, "chunks")
+@query(None, "chunks", raw=True)
 def full_text_cover(c):
     return retrieval.full_text_search(c, 'handles -widget OR "shard queue"')
 
 
-@query(f"{_HYBRID} SELECT chunk_id, score, source, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM fu", "chunks")
+@query(f"{_HYBRID} SELECT chunk_id, score, source, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM fu", "chunks", raw=True)
 def hybrid_search(c):
     # ranks of 0 stand for none
     return retrieval.hybrid_search(c, _query_vector(c), TERMS).fillna(0, ["vector_rank", "keyword_rank"])
@@ -449,22 +454,27 @@ _SIDE = """hf AS (SELECT DISTINCT file_id FROM c WHERE id IN (SELECT chunk_id FR
  nei AS (SELECT * FROM (SELECT id AS chunk_id, file_id, start_line, row_number() OVER (PARTITION BY file_id ORDER BY start_line NULLS LAST, id) AS k FROM c WHERE file_id IN (SELECT file_id FROM nf)) WHERE k <= 3)"""
 
 
-@query(f"{_HYBRID}, {_SIDE} SELECT chunk_id, file_id, start_line FROM sib", "chunks", "file_edges")
+def _hits(c: DataFrame) -> DataFrame:
+    """The ten hits, written once, because several branches read them."""
+    return cut(retrieval.hybrid_search(c, _query_vector(c), TERMS), "hits")
+
+
+@query(f"{_HYBRID}, {_SIDE} SELECT chunk_id, file_id, start_line FROM sib", "chunks", "file_edges", raw=True)
 def expand_siblings(c, e):
-    return retrieval.siblings(c, retrieval.hybrid_search(c, _query_vector(c), TERMS))
+    return retrieval.siblings(c, _hits(c))
 
 
-@query(f"{_HYBRID}, {_SIDE} SELECT chunk_id, file_id, start_line FROM nei", "chunks", "file_edges")
+@query(f"{_HYBRID}, {_SIDE} SELECT chunk_id, file_id, start_line FROM nei", "chunks", "file_edges", raw=True)
 def expand_neighbours(c, e):
-    return retrieval.neighbours(c, e, retrieval.hybrid_search(c, _query_vector(c), TERMS))
+    return retrieval.neighbours(c, e, _hits(c))
 
 
 @query(
     f"{_HYBRID}, {_SIDE} SELECT 'primary' AS section, id AS chunk_id, file_id FROM c WHERE id IN (SELECT chunk_id FROM fu) UNION ALL SELECT 'sibling', chunk_id, file_id FROM sib UNION ALL SELECT 'neighbour', chunk_id, file_id FROM nei",
-    "chunks", "file_edges",
+    "chunks", "file_edges", raw=True,
 )
 def expand_hits(c, e):
-    return retrieval.expand(c, e, retrieval.hybrid_search(c, _query_vector(c), TERMS))
+    return retrieval.expand(c, e, _hits(c))
 
 
 @query(f"{_HYBRID} SELECT {_EXT} AS extension, count(*) AS hits FROM fu JOIN c ON fu.chunk_id = c.id JOIN f ON c.file_id = f.id GROUP BY 1", "chunks", "files")
