@@ -38,9 +38,18 @@ _OUT = "id string, neighbour_id string, similarity double, rank int"
 
 
 def _unit_batches(dim: int, keep: int):
-    """Arrow batches (id, vector) -> (key, vec, ids): usable vectors only, copies within a batch merged."""
+    """Arrow batches (id, vector) -> (key, vec, ids): usable vectors only, copies within a batch merged.
+
+    Keys of which one batch holds ``keep`` copies are merged over the whole partition, so a vector that
+    fills a third of the table leaves each partition as one row. There are few of them: each takes
+    ``keep`` rows of a batch.
+    """
+
+    def table(keys, vecs, ids) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(ids, pa.list_(pa.string()))], ["key", "vec", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[bytes, list]] = {}
         for batch in batches:
             lists = batch.column(1)
             size = np.asarray(lists.value_lengths().fill_null(0))
@@ -61,14 +70,16 @@ def _unit_batches(dim: int, keep: int):
                 merged.setdefault(key, [i]).append(ids[i])
             wide = x.astype(np.float64)
             unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(merged), pa.binary()),
-                    pa.array([unit[v[0]].tobytes() for v in merged.values()], pa.binary()),
-                    pa.array([sorted(set(v[1:]))[:keep] for v in merged.values()], pa.list_(pa.string())),
-                ],
-                ["key", "vec", "ids"],
-            )
+            keys, vecs, lists_ = [], [], []
+            for key, (first, *found) in merged.items():
+                found = sorted(set(found))[:keep]
+                if key in held or len(found) == keep:
+                    vec, old = held.get(key, (unit[first].tobytes(), []))
+                    held[key] = (vec, sorted({*old, *found})[:keep])
+                else:
+                    keys.append(key), vecs.append(unit[first].tobytes()), lists_.append(found)
+            yield table(keys, vecs, lists_)
+        yield table(list(held), [v for v, _ in held.values()], [i for _, i in held.values()])
 
     return run
 
@@ -252,7 +263,7 @@ def nearest_vectors(
     large = copies.filter(F.size("ids") == keep)
     if not large.isEmpty():
         # more copies than the list holds: each member meets the first ones, by a join on the key
-        members = source.mapInArrow(_unit_batches(dim, 1_000_000), "key binary, vec binary, ids array<string>")
+        members = source.mapInArrow(_unit_batches(dim, 2**31), "key binary, vec binary, ids array<string>")
         members = members.select("key", F.explode("ids").alias("id")).distinct()
         met = members.join(large.select("key", F.col("ids").alias("near")), "key")
         pairs = pairs.unionByName(met.select("id", F.explode("near").alias("neighbour_id"), F.lit(1.0).alias("sim")))
