@@ -200,7 +200,7 @@ class SharedSpans:
         classes = occ.groupBy("class", "gram").agg(
             F.first("before").alias("before"), F.first("after").alias("after"), F.min("id").alias("lo"), F.max("id").alias("hi")
         )
-        counted = classes.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
+        counted = classes.join(classes.groupBy("gram").agg(F.count("*").alias("n")), "gram")
         few = counted.filter(F.col("n") <= PAIRWISE_CLASSES)
         a, b = few.alias("a"), few.alias("b")
         pair = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") < F.col("b.class")))
@@ -240,8 +240,8 @@ class SharedSpans:
     def coverage(self) -> DataFrame:
         """(id, n_chars, shared_chars, shared_share, n_runs) of every record with text; ids once."""
         sides = self.links.select(F.explode(F.array("a", "b")).alias("class"), "before", "after")
-        seen = self.windows.withColumn("lo2", F.min("lo").over(Window.partitionBy("win"))).withColumn("hi2", F.max("hi").over(Window.partitionBy("win")))
-        sides = sides.unionByName(seen.filter("lo2 <> hi2").select("class", "before", "after"))
+        met = self.windows.groupBy("win").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("win")
+        sides = sides.unionByName(self.windows.join(met, "win", "left_semi").select("class", "before", "after"))
         reach = sides.groupBy("class").agg(F.max("before").alias("before"), F.max("after").alias("after"))
         runs = self.members.join(reach, "class").select("id", "before", "after", F.explode("spans").alias("s"))
         runs = runs.select("id", (F.col("s")[0] - F.col("before")).alias("lo"), (F.col("s")[1] + self.k + F.col("after")).alias("hi"))
