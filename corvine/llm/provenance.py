@@ -86,8 +86,8 @@ def token_rule(path: Column, language: Column, size: Column) -> Column:
 def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file_id, kind, by, n_lines, n_held): each file id once; kind is null for hand-written files.
 
-    ``by`` is rule, copy or lines; ``n_lines`` counts the rare lines of a file, ``n_held`` those that
-    vendored files of other repositories hold. Null paths, languages, sizes or hashes never match a rule;
+    ``by`` is rule, copy or lines; ``n_lines`` counts the distinct lines of a file that are long enough,
+    ``n_held`` the rare ones that vendored files of other repositories hold. Null paths, languages, sizes or hashes never match a rule;
     rows with equal id count once; chunks of unknown files, null or empty contents are ignored, and so
     are further columns. Empty tables give an empty result.
     """
@@ -107,9 +107,10 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     source = F.when(F.col("vendored"), F.coalesce("repo_id", F.lit("")))
     index = postings.groupBy("line").agg(F.count("*").alias("n"), F.min(source).alias("lo"), F.max(source).alias("hi"))
     index = index.filter((F.col("n") <= RARE_FILES) & (F.col("n") > 1) & F.col("lo").isNotNull())
-    open_lines = postings.filter("open").join(index, "line", "left")
-    held = F.coalesce((F.col("lo") != F.coalesce("repo_id", F.lit(""))) | (F.col("hi") != F.coalesce("repo_id", F.lit(""))), F.lit(False))
-    contained = open_lines.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_lines"), F.count_if(held).alias("n_held"))
+    mine = F.coalesce("repo_id", F.lit(""))
+    held = postings.filter("open").join(index, "line").filter((F.col("lo") != mine) | (F.col("hi") != mine))
+    held = held.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_held"))
+    contained = lines.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_lines")).join(held, "id", "left")
     out = known.join(contained, "id", "left")
     n, h = F.coalesce("n_lines", F.lit(0)), F.coalesce("n_held", F.lit(0))
     edited = (h >= COPY_LINES) & (h >= COPY_SHARE * n)
