@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import scalars as S
 from corvine.functions import values as V
-from corvine.operators import chunking, dml, graph, reports, retrieval
+from corvine.operators import chunking, dml, graph, reports, retrieval, services, tools
 from corvine.schemas import SCHEMAS
 from corvine.scratch import cut
 from corvine.sources.tables import rows_once, table
@@ -382,6 +382,33 @@ def upsert_repos(r):
     return out.select("id", "github_url", "status", _micros("updated_at").alias("updated_at"))
 
 
+@query(
+    """WITH d AS (SELECT id FROM v WHERE title = 'New conversation') SELECT 'conversations' AS name, count(*) AS n FROM v WHERE id NOT IN (SELECT id FROM d)
+ UNION ALL SELECT 'messages', count(*) FROM m WHERE NOT coalesce(conversation_id IN (SELECT id FROM d), false)""",
+    "conversations", "messages",
+)
+def delete_conversations(v, m):
+    left = services.delete_conversations(v, m, v.filter("title = 'New conversation'"))
+    one, two = (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in zip(("conversations", "messages"), left))
+    return one.unionByName(two)
+
+
+@query(
+    "SELECT v.id, epoch_us(CASE WHEN s.id IS NULL THEN updated_at ELSE TIMESTAMPTZ '2026-06-01 00:00:00+00' END) AS updated_at FROM v LEFT JOIN (SELECT DISTINCT conversation_id AS id FROM m WHERE role = 'user') s ON v.id = s.id",
+    "conversations", "messages",
+)
+def append_messages(v, m):
+    # every user row is said once more: its conversation moves to the top of the list
+    bumped, _ = services.append_messages(v, m, m.filter("role = 'user'"), F.to_timestamp(F.lit("2026-06-01 00:00:00")))
+    return bumped.select("id", _micros("updated_at").alias("updated_at"))
+
+
+@query("SELECT c.id, concat('Explain it.', chr(10), chr(10), 'The user is looking at this code in `', path, '`:', chr(10), '```', chr(10), content, chr(10), '```') AS asked FROM c JOIN f ON c.file_id = f.id WHERE content IS NOT NULL", "chunks", "files")
+def ask_with_context(c, f):
+    rows = c.filter("content is not null").join(f.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return rows.select("id", services.ask_with_context(F.lit("Explain it."), F.col("path"), F.col("content")).alias("asked"))
+
+
 # Retrieval ----------------------------------------------------------------------------------------------
 
 _OK = f"len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -484,6 +511,24 @@ def hit_facets(c, f):
     return rows.groupBy(S.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("hits"))
 
 
+@query(
+    f"{_HYBRID} SELECT rank, concat(path, ':', start_line, '-', end_line) AS citation, symbol_name, CASE WHEN len(content) > 800 THEN concat(substring(content, 1, 800), '…') ELSE content END AS snippet, score, source FROM fu JOIN c ON fu.chunk_id = c.id JOIN f ON c.file_id = f.id",
+    "chunks", "files", raw=True,
+)
+def search_code(c, f):
+    return tools.cited(_hits(c), c, f)
+
+
+@query(
+    r"""WITH l AS (SELECT file_id, id, start_line, unnest(string_split_regex(content, '\r?\n')) AS line, generate_subscripts(string_split_regex(content, '\r?\n'), 1) - 1 AS pos FROM c WHERE content IS NOT NULL AND start_line IS NOT NULL),
+ n AS (SELECT file_id, start_line + pos AS n, arg_min(line, (id, pos)) AS line FROM l WHERE start_line + pos BETWEEN 1 AND 400 GROUP BY 1, 2)
+ SELECT file_id, any_value(path) AS path, CAST(min(n) AS INTEGER) AS first, CAST(max(n) AS INTEGER) AS last, substring(string_agg(line, chr(10) ORDER BY n), 1, 8000) AS text FROM n JOIN f ON n.file_id = f.id GROUP BY 1""",
+    "files", "chunks",
+)
+def read_files(f, c):
+    return tools.file_lines(f, c)
+
+
 @query("SELECT repo_id, count(*) AS total, count(embedding) AS embedded, count(embedding) > 0 AS search_ready FROM c JOIN f ON c.file_id = f.id GROUP BY 1", "chunks", "files")
 def embedding_coverage(c, f):
     return retrieval.embedding_coverage(c, f)
@@ -513,6 +558,14 @@ def impact_reach(e, f):
     return graph.impact(f, e, _roots(e))
 
 
+@query(
+    f"{_REACH}, p AS (SELECT root, reach.id, path, language, depth, row_number() OVER (PARTITION BY root ORDER BY depth, path, reach.id) AS k, count(*) OVER (PARTITION BY root) AS total FROM reach JOIN f ON reach.id = f.id) SELECT root, id, path, language, depth, total FROM p WHERE k <= 100",
+    "file_edges", "files",
+)
+def impact_shown(e, f):
+    return tools.shown_impact(graph.impact(f, e, _roots(e)))
+
+
 @query(f"{_REACH} SELECT root, depth, count(*) AS files FROM reach GROUP BY 1, 2", "file_edges")
 def impact_rings(e):
     return graph.rings(graph.reverse_reach(e, _roots(e)))
@@ -665,9 +718,17 @@ def job_progress(spark: SparkSession, root: str) -> DataFrame:
     return last.select("repo_id", F.unix_micros("j.created_at").alias("created_at"), "j.id", "j.status", "j.progress")
 
 
-QUERIES |= {f.__name__: f for f in (chunk_documents, pull_review_patches, push_requests, job_progress)}
+def queue_once(spark: SparkSession, root: str) -> DataFrame:
+    """The job queue as a stream: each job id is taken once, however often it is delivered."""
+    stream = spark.readStream.schema(SCHEMAS["index_jobs"]).parquet(f"{root}/index_jobs.parquet*")
+    jobs = stream.filter("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("job_id"), "repo_id", "status")
+    return events.drain(jobs, spark, "queue")
+
+
+QUERIES |= {f.__name__: f for f in (chunk_documents, pull_review_patches, push_requests, job_progress, queue_once)}
 SQL |= {
     "pull_review_patches": "SELECT doc_id, CASE WHEN len(text) > 1500 THEN concat(substring(text, 1, 1500), chr(10), '… (patch truncated)') ELSE text END AS patch FROM documents WHERE source = 'pr_review' AND text IS NOT NULL",
+    "queue_once": "SELECT DISTINCT id AS job_id, repo_id, status FROM index_jobs WHERE id IS NOT NULL",
     "push_requests": r"""WITH r AS (SELECT DISTINCT ON (id) *, lower(regexp_replace(regexp_replace(trim(github_url), '^https?://', ''), '(\.git)?/*$', '')) AS url FROM repos)
  SELECT concat('push-', a.id) AS job_id, b.id AS repo_id, a.url AS url FROM r a JOIN r b ON a.url = b.url WHERE a.default_branch <> '' AND NOT coalesce(a.status = 'failed', false)""",
     "job_progress": "SELECT repo_id, epoch_us(created_at) AS created_at, id, status, CAST(greatest(0, least(100, coalesce(progress, 0))) AS INTEGER) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS LAST, id DESC) AS k FROM (SELECT DISTINCT ON (id) * FROM index_jobs WHERE repo_id IS NOT NULL)) WHERE k = 1",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import scalars as S
 from corvine.functions.stemming import stem
-from corvine.operators import chunking, dml, graph, reports, retrieval
+from corvine.operators import chunking, dml, graph, reports, retrieval, services, tools
 from corvine.plans import catalog
 from corvine.sources.repo_tree import ignored_by, read_tree
 from corvine.streaming import events
@@ -303,3 +303,38 @@ def test_reports_edges(spark):
     chunks = spark.createDataFrame([("a", "1\n2\n3"), ("b", "")], "id string, content string")
     got = {r["chunk_id"]: (r["first"], r["last"], r["text"]) for r in reports.read_lines(chunks, 2, 9).collect()}
     assert got == {"a": (2, 3, "2\n3"), "b": (2, 1, "")}
+
+
+def small_corpus(spark):
+    repos = spark.createDataFrame([("r", "https://git.example/o/r", "o/r", "queued", "main", None, None)], "id string, github_url string, name string, status string, default_branch string, last_indexed_at timestamp, updated_at timestamp")
+    files = spark.createDataFrame([(x, "r", f"src/{x}.ts", "typescript") for x in "abc"], "id string, repo_id string, path string, language string")
+    chunks = spark.createDataFrame([("k1", "a", "alpha", 1, 2, "one\ntwo", [1.0, 0.0]), ("k2", "a", None, 3, 3, "three", [0.0, 1.0]), ("k3", "b", None, 1, 1, "alpha", [1.0, 1.0])], "id string, file_id string, symbol_name string, start_line int, end_line int, content string, embedding array<float>")
+    return tools.Tools("r", repos, files, chunks, edges(spark, [("b", "a"), ("c", "b")]))
+
+
+def test_tools(spark):
+    t = small_corpus(spark)
+    assert [r["citation"] for r in t.search_code("alpha", [1.0, 0.0]).orderBy("rank").collect()][0] == "src/a.ts:1-2"
+    assert [tuple(r)[2:] for r in t.read_file("src/a.ts", 2, 3).collect()] == [(2, 3, "two\nthree")]
+    assert t.read_file("src/none.ts").count() == 0 and t.list_files("src/").count() == 3 and t.list_files(language="go").count() == 0
+    assert {(r["direction"], r["path"]) for r in t.get_dependencies("src/b.ts").collect()} == {("imports", "src/a.ts"), ("imported_by", "src/c.ts")}
+    assert {(r["path"], r["depth"], r["total"]) for r in t.get_impact("src/a.ts").collect()} == {("src/b.ts", 1, 2), ("src/c.ts", 2, 2)}
+    for bad in (lambda: t.search_code("", [1.0]), lambda: t.search_code("x", [1.0], 0), lambda: t.search_code("x", [1.0], 999), lambda: t.read_file("x", 0), lambda: t.get_impact("x", 6), lambda: t.get_impact("")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_services(spark):
+    t = small_corpus(spark)
+    now = F.lit(dt.datetime(2026, 1, 1))
+    ready = services.mark_repo(t.repos, "r", "ready", now).first()
+    assert ready["status"] == "ready" and ready["last_indexed_at"] == ready["updated_at"] == dt.datetime(2026, 1, 1)
+    with pytest.raises(ValueError):
+        services.mark_repo(t.repos, "r", "odd", now)
+    assert services.repo_by_url(t.repos, "git@git.example:O/R.git").count() == 1
+    pulls = spark.createDataFrame([("p", "a.ts", "modified", 1, 2, "x" * 1600), ("p", "b.png", "added", 0, 0, None)], "pull_id string, filename string, status string, additions int, deletions int, patch string")
+    row = services.pull_request_files(pulls).first()
+    assert row["n_files"] == 2 and "… (patch truncated)" in row["sections"] and row["sections"].endswith("*(binary file or patch unavailable)*")
+    assert one(spark, services.ask_with_context(F.col("q"), F.lit("a.ts"), F.lit(None).cast("string")), q="Why?") == "Why?"
+    queue = spark.createDataFrame([("1",)], "job_id string")
+    assert [r[0] for r in services.enqueue(queue, spark.createDataFrame([("1",), ("2",), ("2",)], "job_id string")).collect()] == ["2"]
