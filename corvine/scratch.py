@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
+
+
+def is_local(spark: SparkSession) -> bool:
+    """True where driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,11 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError(f"set {_CONF} to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-corvine-")
-    spark.conf.set(_CONF, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-corvine-")
+    return _LOCAL[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
