@@ -224,16 +224,24 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(chunk_a, chunk_b), chunk_a < chunk_b: records that share a run; distinct."""
-        m = self.members.select("class", "id").distinct()
-        linked = self.links.select("a", "b").distinct()
+        # classes with the same members say the same, and most do where whole texts are copies: one stands for all
+        m = cut(self.members.select("class", "id").distinct(), "members")
+        h = F.xxhash64("id")
+        sets = m.groupBy("class").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("t"))
+        stands = sets.join(sets.groupBy("n", "s", "t").agg(F.min("class").alias("rep")), ["n", "s", "t"]).select("class", "rep")
+        as_ = lambda c, r: stands.select(F.col("class").alias(c), F.col("rep").alias(r))
+        linked = self.links.select("a", "b").distinct().join(as_("a", "ra"), "a").join(as_("b", "rb"), "b")
+        linked = linked.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         one = linked.join(m.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(
             m.select(F.col("class").alias("b"), F.col("id").alias("y")), "b"
         )
-        # windows with the same members say the same: one of them is enough
-        sets = self.windows.groupBy("win").agg(F.count("*").alias("n"), F.sum(F.col("class").cast("decimal(38,0)")).alias("s"), F.bit_xor("class").alias("t"))
-        few = sets.filter("n > 1").groupBy("n", "s", "t").agg(F.min("win").alias("win")).select("win")
-        inside = self.windows.select("win", "class").join(few, "win", "left_semi").join(m, "class").select("win", "id")
-        two = inside.select("win", F.col("id").alias("x")).join(inside.select("win", F.col("id").alias("y")), "win")
+        one = one.filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        # so it is with windows
+        held = self.windows.select("win", "class").join(stands, "class").select("win", F.col("rep").alias("class")).distinct()
+        sets = held.groupBy("win").agg(F.count("*").alias("n"), F.sum(F.col("class").cast("decimal(38,0)")).alias("s"), F.bit_xor("class").alias("t"))
+        few = sets.groupBy("n", "s", "t").agg(F.min("win").alias("win")).select("win")
+        inside = held.join(few, "win", "left_semi").join(m, "class").select("win", "id").distinct()
+        two = inside.select("win", F.col("id").alias("x")).join(inside.select("win", F.col("id").alias("y")), "win").filter("x < y")
         both = one.select("x", "y").unionByName(two.select("x", "y")).filter("x <> y")
         return both.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
 
