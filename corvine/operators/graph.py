@@ -45,11 +45,11 @@ def reverse_reach(edges: DataFrame, roots: DataFrame, depth: int = LIMITS.impact
     """(root, id, depth): files that reach a root over reversed edges within ``depth`` (clamped to 1..5).
 
     Level-synchronous: each level is one join and one anti join against what was seen, for all roots at
-    once, and its lineage is cut. A root keeps the first ``visited`` files by (depth, id); the root
+    once, and its lineage is cut. The reversed edges are written once and read by every level. A root keeps the first ``visited`` files by (depth, id); the root
     itself is left out. ``roots`` has a column ``root``.
     """
     depth = max(1, min(depth, LIMITS.impact_max_depth))
-    back = clean_edges(edges).select(F.col("target").alias("at"), F.col("source").alias("id")).distinct()
+    back = cut(clean_edges(edges).select(F.col("target").alias("at"), F.col("source").alias("id")).distinct(), "edges")
     seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
     front = seen
     for level in range(1, depth + 1):

@@ -136,13 +136,19 @@ def full_text_search(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     """
     parsed = [[([stem(w) for w in words], neg) for words, neg in alt] for alt in parse_query(query)]
 
+    def starts(negated: bool) -> tuple[str, ...]:
+        """Beginnings of the words that may match: stemming changes the last two letters of a stem at most."""
+        return tuple(sorted({p[: max(1, len(p) - 2)] for alt in parsed for words, neg in alt if negated or not neg for p in words}))
+
+    wanted = starts(True)
+
     def rank_of(name: str | None, content: str | None) -> float | None:
         words: list[tuple[str, float]] = []
         for text, weight in ((name, WEIGHT_A), (content, WEIGHT_B)):
             words += [(w, weight) for w in re.findall(r"[^\W]+", (text or "").lower())]
         at: dict[str, list[tuple[int, float]]] = {}
         for i, (w, weight) in enumerate(words):
-            if w not in STOP_WORDS:
+            if w.startswith(wanted) and w not in STOP_WORDS:
                 at.setdefault(stem(w), []).append((i, weight))
         best = None
         for alt in parsed:
@@ -167,7 +173,11 @@ def full_text_search(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
             out = pd.DataFrame({"chunk_id": pdf["id"], "score": scores})
             yield out[out["score"].notna()].astype({"score": "float64"})
 
-    rows = chunks.select("id", "symbol_name", "content").mapInPandas(run, "chunk_id string, score double")
+    low = F.lower(F.concat_ws(" ", "symbol_name", "content"))
+    near = F.lit(False)
+    for x in starts(False):
+        near = near | low.contains(x)
+    rows = chunks.filter(near).select("id", "symbol_name", "content").mapInPandas(run, "chunk_id string, score double")
     best = rows.groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long"))
 

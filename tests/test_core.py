@@ -338,3 +338,16 @@ def test_services(spark):
     assert one(spark, services.ask_with_context(F.col("q"), F.lit("a.ts"), F.lit(None).cast("string")), q="Why?") == "Why?"
     queue = spark.createDataFrame([("1",)], "job_id string")
     assert [r[0] for r in services.enqueue(queue, spark.createDataFrame([("1",), ("2",), ("2",)], "job_id string")).collect()] == ["2"]
+
+
+def test_full_text(spark):
+    rows = [("a", "handleQueue", "it handles one queue and another queue"), ("b", None, "handling the queues"), ("c", None, "a widget handles it"), ("d", None, "nothing here"), ("e", None, None), ("f", None, "the shard queue"), ("g", None, "shard of queue")]
+    df = spark.createDataFrame(rows, "id string, symbol_name string, content string")
+
+    def found(query):
+        return {r["chunk_id"]: r["score"] for r in retrieval.full_text_search(df, query).collect()}
+
+    assert set(found("handles")) == {"a", "b", "c"} and set(found("handle -widget")) == {"a", "b"}
+    assert set(found('"shard queue"')) == {"f"} and set(found("shard OR widgets")) == {"c", "f", "g"}
+    assert found("queue")["a"] == pytest.approx(0.8) and found("handled queue")["b"] == pytest.approx(0.4 / 2)
+    assert found("the of") == {} and found("") == {}
