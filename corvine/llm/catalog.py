@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    near = vectors.nearest_vectors(table(spark, root, "chunks"))
+    near = vectors.nearest_vectors(table(spark, root, "chunks"), min_similarity=None, relax=1.0)
     return near.withColumn("similarity", F.round("similarity", 5))
 
 

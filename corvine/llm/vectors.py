@@ -33,6 +33,8 @@ LEAF_ROWS = 96
 SPARE = 3
 #: Pruning factor: 1 is exact.
 RELAX = 0.15
+#: Without a least similarity: points in a leaf, and what single precision may take from a distance.
+OPEN_LEAF_ROWS, SLACK = 512, 2e-3
 
 _OUT = "id string, neighbour_id string, similarity double, rank int"
 
@@ -116,8 +118,9 @@ class RoutingTree:
         self.nodes[at] = (mu, inner, outer)
         return at
 
-    def route(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, x: np.ndarray, margin: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, shard, owned): the shards each row must search; ``owned`` where it is stored."""
+        margin = np.broadcast_to(margin, len(x))
         dots = x @ self.matrix.T if len(self.matrix) else None
         out: list[tuple[np.ndarray, int, np.ndarray]] = []
         stack = [(self.root, np.arange(len(x)), np.ones(len(x), bool))]
@@ -130,9 +133,9 @@ class RoutingTree:
                 continue
             mu, inner, outer = self.nodes[node]
             off = _distances(dots[rows, node]) - mu
-            go = off <= margin
+            go = off <= margin[rows]
             stack.append((inner, rows[go], owned[go] & (off[go] <= 0)))
-            go = off >= -margin
+            go = off >= -margin[rows]
             stack.append((outer, rows[go], owned[go] & (off[go] > 0)))
         if not out:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
@@ -203,6 +206,70 @@ def search_shard(stored: np.ndarray, queries: np.ndarray, own: np.ndarray, k: in
     return best
 
 
+def search_open(stored: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, relax: float) -> _Best:
+    """As ``search_shard``, but each query's radius is that of its k-th best so far, or of its ``floor`` if that is nearer."""
+    floor = floor.astype(np.float32)
+    if (floor <= -2.0).any():
+        # the leaf a query falls into gives a first radius
+        seed = _walk_open(stored, queries, own, k, floor, 0.0, 0.0)
+        floor = np.maximum(floor, seed.sim[:, -1] - np.float32(1e-5))
+    return _walk_open(stored, queries, own, k, floor, relax, SLACK)
+
+
+def _walk_open(stored, queries, own, k, floor, relax, slack) -> _Best:
+    best = _Best(len(queries), k)
+    column = np.full(len(stored) + 1, -1)  # the last one stands for queries that are not stored
+    stack = [(np.arange(len(stored)), np.arange(len(queries)), np.zeros(len(queries)))]
+    while stack:
+        points, rows, gap = stack.pop()
+        rows = rows[gap <= relax * _distances(np.maximum(best.sim[rows, -1], floor[rows])) + slack]
+        if not len(points) or not len(rows):
+            continue
+        near = None
+        if len(points) > OPEN_LEAF_ROWS:
+            vantage = _spread_point(stored[points])
+            d = _distances(stored[points] @ vantage)
+            mu = np.median(d)
+            near = d <= mu
+        if near is None or near.all():
+            for lo in range(0, len(points), 512):
+                part = points[lo : lo + 512]
+                column[part] = np.arange(len(part))
+                for at in range(0, len(rows), 4096):
+                    block = rows[at : at + 4096]
+                    sims = queries[block] @ stored[part].T
+                    self_at = column[own[block]]
+                    sims[np.flatnonzero(self_at >= 0), self_at[self_at >= 0]] = -2.0
+                    _offer_open(best, block, part, sims, np.maximum(best.sim[block, -1], floor[block]))
+                column[part] = -1
+            continue
+        off = _distances(queries[rows] @ vantage) - mu
+        stack.append((points[near], rows, off))
+        stack.append((points[~near], rows, -off))
+    return best
+
+
+def _offer_open(best: _Best, block: np.ndarray, part: np.ndarray, sims: np.ndarray, least: np.ndarray) -> None:
+    """Offer the similarities that reach ``least`` of their row; few do, so they are moved to the left first."""
+    q, j = np.nonzero(sims >= least[:, None])
+    if not len(q):
+        return
+    hit, first, count = np.unique(q, return_index=True, return_counts=True)
+    if count.max() > 4 * best.k:
+        some = sims[hit]
+        top = np.argpartition(-some, best.k - 1, axis=1)[:, : best.k]
+        found = np.take_along_axis(some, top, axis=1)
+        best.offer(block[hit], part[top], np.where(found >= least[hit, None], found, np.float32(-2.0)))
+        return
+    slot = np.arange(len(q)) - np.repeat(first, count)
+    row = np.repeat(np.arange(len(hit)), count)
+    found = np.full((len(hit), count.max()), -2.0, np.float32)
+    where = np.full(found.shape, -1, np.int64)
+    found[row, slot] = sims[q, j]
+    where[row, slot] = part[j]
+    best.offer(block[hit], where, found)
+
+
 def _matrix(vecs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), np.float32).reshape(len(vecs), dim)
 
@@ -214,14 +281,16 @@ def nearest_vectors(
     vector_col: str = "embedding",
     dim: int = 64,
     k: int = 5,
-    min_similarity: float = 0.9,
+    min_similarity: float | None = 0.9,
     relax: float = RELAX,
     shard_rows: int = SHARD_ROWS,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(id, neighbour_id, similarity, rank): up to ``k`` most similar other rows of every row.
 
-    Cosine similarity of at least ``min_similarity``; ties go to the smaller id. Every usable row is
+    Cosine similarity of at least ``min_similarity``, or whatever it is if that is None: then every
+    usable row gets its ``k`` neighbours (fewer only if there are fewer rows), and the search radius is
+    the distance of the k-th best found so far. Ties go to the smaller id. Every usable row is
     indexed and queried. A vector is usable if it has ``dim`` finite numbers that are not all zero;
     rows with a null id, a null, short or unusable vector take no part. A repeated row (same id and
     vector) counts once; different ids with one vector are neighbours of similarity 1. An empty
@@ -251,10 +320,12 @@ def nearest_vectors(
     sample = groups.filter(F.col("key") <= F.lit(edge)).select("vec").limit(sample_rows).toPandas()
     leaves = max(1, min(-(-total // shard_rows), max(1, len(sample) // 16)))
     tree = RoutingTree(_matrix(sample["vec"], dim) if len(sample) else np.zeros((0, dim), np.float32), leaves)
-    margin = relax * float(np.sqrt(2.0 - 2.0 * min_similarity))
-    links = _search(spark, groups, tree, dim, k, min_similarity, margin, shard_rows)
-
-    both = links.unionByName(links.select(F.col("near").alias("ids"), F.col("ids").alias("near"), "sim")).distinct()
+    if min_similarity is None:
+        both = _search_open(spark, groups, tree, dim, k, relax, shard_rows)
+    else:
+        margin = relax * float(np.sqrt(2.0 - 2.0 * min_similarity))
+        links = _search(spark, groups, tree, dim, k, min_similarity, margin, shard_rows)
+        both = links.unionByName(links.select(F.col("near").alias("ids"), F.col("ids").alias("near"), "sim")).distinct()
     pairs = both.filter(F.size("ids") < keep).select(F.explode("ids").alias("id"), "near", "sim")
     pairs = pairs.select("id", F.explode("near").alias("neighbour_id"), "sim")
     copies = groups.filter(F.size("ids") > 1).select("ids", "key")
@@ -329,6 +400,111 @@ def _search(spark, groups, tree, dim, k, least, margin, shard_rows) -> DataFrame
     return sent.groupBy("shard", "salt").applyInPandas(search, "ids array<string>, near array<string>, sim double")
 
 
+def _search_open(spark, groups, tree, dim, k, relax, shard_rows) -> DataFrame:
+    """(ids, near, sim): the best links of every group, without a least similarity.
+
+    First every group is searched for in the shard that stores it, which gives it a radius; then it is
+    sent to the further shards that its ball reaches. Crowded shards are salted, and the queries of a
+    shard are cut into blocks, so no task holds more than about 2 * shard_rows of either.
+    """
+    shared = spark.sparkContext.broadcast(tree)  # at most sample_rows / 16 points
+    width = k + SPARE
+
+    def homes(batches):
+        for batch in batches:
+            row, shard, owned = shared.value.route(_matrix(batch.column(1).to_pylist(), dim), 0.0)
+            home = np.zeros(batch.num_rows, np.int32)
+            home[row[owned]] = shard[owned]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home, pa.int32())], ["key", "vec", "shard"])
+
+    placed = cut(groups.select("key", "vec").mapInArrow(homes, "key binary, vec binary, shard int"), "placed")
+    salts = {r["shard"]: -(-r["count"] // (2 * shard_rows)) for r in placed.groupBy("shard").count().collect()}
+
+    def salt_of(key: bytes, shard: int) -> int:
+        return int.from_bytes(key[:4], "big") % salts[shard]
+
+    def ranked(x: np.ndarray, stored: np.ndarray, best: _Best, rows: np.ndarray, keys: np.ndarray) -> dict:
+        """Neighbours and double-precision similarities of the queries ``rows``, best first."""
+        near, sims = [], []
+        for q, r in enumerate(rows.tolist()):
+            at = stored[best.at[q][best.sim[q] > -2.0]]
+            found = x[at].astype(np.float64) @ x[r].astype(np.float64)
+            order = np.argsort(-found, kind="stable")
+            near.append(keys[at[order]].tolist()), sims.append(found[order].tolist())
+        return {"near": near, "sims": sims}
+
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
+        x = _matrix(pdf["vec"], dim)
+        every = np.arange(len(x))
+        best = search_open(x, x, every, width, np.full(len(x), -2.0), relax)
+        out = ranked(x, every, best, every, pdf["key"].to_numpy())
+        radius = [s[k - 1] if len(s) >= k else -2.0 for s in out["sims"]]
+        return pd.DataFrame({"key": pdf["key"], "vec": pdf["vec"], "shard": pdf["shard"], "radius": radius, **out})
+
+    salt = F.udf(salt_of, "int")
+    home = placed.withColumn("salt", salt("key", "shard")).groupBy("shard", "salt")
+    home = cut(home.applyInPandas(at_home, "key binary, vec binary, shard int, radius double, near array<binary>, sims array<double>"), "home")
+
+    def further(batch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of the shards that the rows' balls reach; their own counts only if it is salted."""
+        reach = relax * _distances(batch.column(3).to_numpy()) + SLACK
+        row, shard, _ = shared.value.route(_matrix(batch.column(1).to_pylist(), dim), reach)
+        own = batch.column(2).to_numpy()[row] == shard
+        many = np.isin(shard, [s for s, m in salts.items() if m > 1])
+        go = np.isin(shard, list(salts)) & (~own | many)
+        return row[go], shard[go]
+
+    def asked(batches):
+        for batch in batches:
+            shard, count = np.unique(further(batch)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(count, pa.int64())], ["shard", "n"])
+
+    routes = home.select("key", "vec", "shard", "radius")
+    counts = routes.mapInArrow(asked, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    blocks = {r["shard"]: -(-r["n"] // (2 * shard_rows)) for r in counts}
+
+    def routed(batches):
+        for batch in batches:
+            keys, homes_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            take, to, salt_, block, stored = [], [], [], [], []
+            for r, s in enumerate(homes_):
+                for b in range(blocks.get(s, 0)):
+                    take.append(r), to.append(s), salt_.append(salt_of(keys[r], s)), block.append(b), stored.append(True)
+            for r, s in zip(*(a.tolist() for a in further(batch))):
+                b = int.from_bytes(keys[r][4:8], "big") % blocks[s]
+                for j in range(salts[s]):
+                    if s != homes_[r] or j != salt_of(keys[r], s):
+                        take.append(r), to.append(s), salt_.append(j), block.append(b), stored.append(False)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to, pa.int32()), pa.array(salt_, pa.int32()), pa.array(block, pa.int32()), pa.array(stored, pa.bool_()), *(batch.column(c).take(at) for c in (0, 1, 3))],
+                ["shard", "salt", "block", "stored", "key", "vec", "radius"],
+            )
+
+    def away(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
+        x = _matrix(pdf["vec"], dim)
+        inside = pdf["stored"].to_numpy(bool)
+        stored, rows = np.flatnonzero(inside), np.flatnonzero(~inside)
+        floor = np.maximum(pdf["radius"].to_numpy()[rows] - 1e-5, -2.0)
+        best = search_open(x[stored], x[rows], np.full(len(rows), -1), width, floor, relax)
+        found = (best.sim > -2.0).any(axis=1)
+        best.sim, best.at, rows = best.sim[found], best.at[found], rows[found]
+        keys = pdf["key"].to_numpy()
+        return pd.DataFrame({"key": keys[rows], **ranked(x, stored, best, rows, keys)})
+
+    sent = routes.mapInArrow(routed, "shard int, salt int, block int, stored boolean, key binary, vec binary, radius double")
+    outside = sent.groupBy("shard", "salt", "block").applyInPandas(away, "key binary, near array<binary>, sims array<double>")
+    lists = home.select("key", "near", "sims").unionByName(outside)
+    lists = lists.select("key", F.zip_with("sims", "near", lambda s, n: F.struct(s.alias("sim"), n.alias("near"))).alias("list"))
+    lists = lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("list")), asc=False), 1, width).alias("list"))
+    links = lists.select("key", F.inline("list"))
+    ids = groups.select("key", "ids")
+    links = links.join(ids.select(F.col("key").alias("near"), F.col("ids").alias("near_ids")), "near").join(ids, "key")
+    return links.select("ids", F.col("near_ids").alias("near"), "sim")
+
+
 def similar_pairs(df: DataFrame, **options) -> DataFrame:
     """(chunk_a, chunk_b), chunk_a < chunk_b: pairs in which one row is among the other's most similar."""
     near = nearest_vectors(df, **options)

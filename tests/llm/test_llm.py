@@ -56,6 +56,28 @@ def test_neighbours_against_brute_force(spark, relax, recall):
     assert len(got & want) / len(want) >= recall and len(got - want) <= (1 - recall) * len(want) + 1e-9
 
 
+def test_every_vector_has_neighbours_without_a_least_similarity(spark):
+    rows = clustered(900, 16)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    for shard_rows in (40, 2000):
+        near = vectors.nearest_vectors(df, dim=16, k=3, min_similarity=None, relax=1.0, shard_rows=shard_rows, sample_rows=400)
+        assert {(r["id"], r["neighbour_id"]) for r in near.collect()} == brute_neighbours(rows, 3, -2.0)
+    # one crowded shard, so that salts and blocks of queries take part
+    near = vectors.nearest_vectors(df, dim=16, k=3, min_similarity=None, relax=1.0, shard_rows=60, sample_rows=16)
+    assert {(r["id"], r["neighbour_id"]) for r in near.collect()} == brute_neighbours(rows, 3, -2.0)
+
+
+@needs_data
+def test_p1_neighbours_lists_five_of_every_usable_chunk(spark):
+    from corvine.llm.catalog import p1_neighbours
+
+    rows = {r["id"]: r["embedding"] for r in read(spark, "chunks").select("id", "embedding").filter("id is not null").collect()}
+    rows = {i: np.array(v, float) for i, v in rows.items() if v is not None and len(v) == 64 and None not in v}
+    rows = [(i, v) for i, v in rows.items() if np.isfinite(v).all() and v.any()]
+    got = {(r["id"], r["neighbour_id"]) for r in p1_neighbours(spark, DATA).collect()}
+    assert len(got) == 5 * len(rows) and got == brute_neighbours(rows, 5, -2.0)
+
+
 def test_crowded_region_is_salted(spark):
     rng = np.random.default_rng(3)
     center = rng.normal(size=8)
