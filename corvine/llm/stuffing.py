@@ -4,7 +4,8 @@ Every page is measured line by line: how many of its words stand in keyword repe
 or tag lists, and further content and link features. Pages on which simple cues agree get weak labels;
 bagged decision trees learn from a bounded sample of them and score every page. Scores are smoothed
 with the spam rate of the page's host (here the repository it belongs to), and pages that stay likely
-are confirmed by the share of their words that is no sentence, code, log or diagram.
+are confirmed by the share of their words that is no sentence, code, log or diagram. Lines that tell
+nothing one by one are judged together, so wrapping a page does not change its verdict.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ TREES, DEPTH = 12, 5
 HOST_WEIGHT, HOST_PRIOR = 0.3, 20.0
 #: Smoothed score from which a page is a candidate for confirmation.
 CANDIDATE = 0.15
+#: Smoothed score from which the trees admit a page that is mostly no sentence, code, log or diagram.
+ADMITTED = 0.5
+#: Short lines from which they are a list of link texts.
+LIST_LINES = 8
 #: Copies of each host's rate in the join, against hosts that hold much of the corpus.
 SALTS = 16
 
@@ -52,10 +57,42 @@ _DRAWN = re.compile(r"[│├└┌┐┘─═║╔╗╚╝▼▲►◄]|[-=]
 _SEPARATOR = re.compile(r"[,;|]|>>")
 
 
+class _Loose:
+    """The lines of a page that are no sentence, code, log or diagram, but tell nothing one by one."""
+
+    def __init__(self) -> None:
+        self.n = self.hold = self.lines = self.ended = self.short = 0
+        self.words: dict[str, int] = {}
+
+    def add(self, line: str, n: int, plain: list[str], hold: int) -> None:
+        if _CODE.search(line) or not any(c.isalpha() for c in line):
+            return
+        self.n += n
+        self.hold += hold
+        self.lines += 1
+        self.ended += line.endswith((".", "!", "?", ":"))
+        self.short += n < 6
+        for t in plain:
+            self.words[t] = self.words.get(t, 0) + 1
+
+    def stuffed(self) -> bool:
+        """True if all of them together repeat words as a stuffed line does, or are a list of link texts."""
+        if self.n < 6 or self.hold >= 0.06 * self.n or self.ended * 2 > self.lines:
+            return False
+        again = sum(self.words.values()) - len(self.words)
+        return again >= 0.25 * self.n or self.lines >= LIST_LINES and self.short >= 0.9 * self.lines and self.ended <= 0.1 * self.lines
+
+
 def page_features(text: str) -> tuple[list[float], int, int]:
-    """(features, words, words that are no sentence, code, log or diagram) of a page."""
+    """(features, words, stuffed words) of a page."""
+    return _page(text)[:3]
+
+
+def _page(text: str) -> tuple[list[float], int, int, int]:
+    """(features, words, stuffed words, further words that are no sentence, code, log or diagram) of a page."""
     words = stuffed = links = hashtags = tags = separators = stops = grammar = repeats = 0
     counts: dict[str, int] = {}
+    loose = _Loose()
     fence = False
     for line in text.splitlines():
         line = line.strip()
@@ -93,31 +130,39 @@ def page_features(text: str) -> tuple[list[float], int, int]:
         bare = urls > 0 and (hold == 0 if len(plain) < 16 and urls == 1 else hold < 0.1 * len(plain))
         if bare or hashed * 2 >= n and hashed >= 3 or tagged and not held:
             stuffed += n
-        elif held or n < 6 or line[0] == "#" and line[1:2] in " #" or _LOG.search(line) or _DRAWN.search(line):
+        elif held or line[0] == "#" and line[1:2] in " #" or _LOG.search(line) or _DRAWN.search(line):
             continue
+        elif n < 6:
+            loose.add(line, n, plain, hold)
         elif again >= 0.25 * len(plain) and hold < 0.06 * len(plain) and not (marks < 3 and _CODE.search(line)):
             stuffed += n
         elif marks >= 5 and hold < 0.04 * len(plain) and not _CODE.search(line):
             stuffed += n
+        else:
+            loose.add(line, n, plain, hold)
+    # repetition and lists are the same whether a page is wrapped or not
+    if loose.stuffed():
+        stuffed += loose.n
+        loose.n = 0
     w = max(1, words)
     top = max(counts.values(), default=0) / w
     share = [stuffed / w, grammar / w, len(counts) / w, top, links / w, hashtags / w, tags / w, separators / w, stops / w, repeats / w]
-    return share, words, stuffed
+    return share, words, stuffed, loose.n
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [page_features(t) for t in pdf["text"]]
+        rows = [_page(t) for t in pdf["text"]]
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "host": pdf["host"], "features": [r[0] for r in rows], "n_words": [r[1] for r in rows], "n_stuffed": [r[2] for r in rows]}
+            {"doc_id": pdf["doc_id"], "host": pdf["host"], "features": [r[0] for r in rows], "n_words": [r[1] for r in rows], "n_stuffed": [r[2] for r in rows], "n_loose": [r[3] for r in rows]}
         )
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, features, n_words, n_stuffed, weak): a row for each page with text; weak is null if unsure."""
+    """(doc_id, host, features, n_words, n_stuffed, n_loose, weak): a row for each page with text; weak is null if unsure."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("repo_id").cast("string"), F.lit("")).alias("host"), "text")
     source = source.filter("doc_id is not null and text is not null")
-    rows = source.mapInPandas(_measure, "doc_id long, host string, features array<double>, n_words long, n_stuffed long")
+    rows = source.mapInPandas(_measure, "doc_id long, host string, features array<double>, n_words long, n_stuffed long, n_loose long")
     f = dict(zip(FEATURES, (F.col("features")[i] for i in range(len(FEATURES)))))
     cues = (f["links"] > 0.12).cast("int") + (f["hashtags"] > 0.2).cast("int") + (f["tags"] > 0.1).cast("int") + (f["top"] > 0.15).cast("int") + (f["distinct"] < 0.4).cast("int") + (f["stuffed"] > 0.6).cast("int")
     sure = F.when((cues >= 2) & (f["grammar"] < 0.08), 1.0).when((cues == 0) & (f["grammar"] > 0.15) & (f["stuffed"] < 0.3), 0.0)
@@ -125,7 +170,7 @@ def measured(documents: DataFrame) -> DataFrame:
 
 
 def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, n_words, n_stuffed, score, smoothed): the trees' score and the one smoothed by host.
+    """(doc_id, n_words, n_stuffed, n_loose, score, smoothed): the trees' score and the one smoothed by host.
 
     A null repo_id is a host of its own. Null texts are no pages; empty ones have no words and score
     like any other. Without weak labels of both kinds the stuffed share itself is the score. An empty
@@ -151,11 +196,11 @@ def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
         seen = trees.transform(pages.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("p")[1])
     else:
         seen = pages.withColumn("score", F.col("features")[0])
-    seen = seen.select("doc_id", "host", "n_words", "n_stuffed", "score")
+    seen = seen.select("doc_id", "host", "n_words", "n_stuffed", "n_loose", "score")
     hosts = seen.groupBy("host").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     total = seen.agg(F.avg("score")).first()[0]
     if total is None:
-        return seen.select("doc_id", "n_words", "n_stuffed", "score", F.col("score").alias("smoothed"))
+        return seen.select("doc_id", "n_words", "n_stuffed", "n_loose", "score", F.col("score").alias("smoothed"))
 
     def logit(x):
         x = F.least(F.greatest(x, F.lit(1e-4)), F.lit(1 - 1e-4))
@@ -165,9 +210,13 @@ def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
     rate = rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     shifted = logit(F.col("score")) + HOST_WEIGHT * (logit(F.col("rate")) - logit(F.lit(total)))
-    return salted.join(rate, ["host", "salt"]).select("doc_id", "n_words", "n_stuffed", "score", (1 / (1 + F.exp(-shifted))).alias("smoothed"))
+    return salted.join(rate, ["host", "salt"]).select("doc_id", "n_words", "n_stuffed", "n_loose", "score", (1 / (1 + F.exp(-shifted))).alias("smoothed"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id): candidates of the smoothed trees of which more than half of the words are stuffed."""
-    return scored(documents).filter((F.col("smoothed") >= CANDIDATE) & (F.col("n_stuffed") * 2 > F.col("n_words"))).select("doc_id").distinct()
+    """(doc_id): candidates of the smoothed trees of which more than half of the words are stuffed.
+
+    Where the trees are sure, words of other lines that are no sentence, code, log or diagram count too.
+    """
+    bad = F.col("n_stuffed") + F.when(F.col("smoothed") >= ADMITTED, F.col("n_loose")).otherwise(0)
+    return scored(documents).filter((F.col("smoothed") >= CANDIDATE) & (bad * 2 > F.col("n_words"))).select("doc_id").distinct()

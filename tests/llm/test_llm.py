@@ -476,6 +476,40 @@ def test_page_shares(text, stuffed):
     assert (bad * 2 > words) is stuffed
 
 
+LINK_TEXTS = ["Home", "About us", "Contact", "Pricing plans", "Free download", "Partner sites", "Best hosting", "Cheap domains", "Latest offers", "Site map", "Login page", "Top reviews"]
+ACROSS_LINES = [
+    "\n".join(["cheap hosting fast server discount domains deal"] * 100),
+    "\n".join(["cheap hosting", "fast server", "cheap hosting", "discount"] * 20),
+    "\n".join(["hosting"] * 40),
+    "\n".join(LINK_TEXTS),
+]
+
+
+@pytest.mark.parametrize("text", ACROSS_LINES)
+def test_stuffing_across_lines(text):
+    _, words, bad = stuffing.page_features(text)
+    assert bad * 2 > words
+
+
+def test_wrapped_pages_and_short_lists():
+    spam = "cheap hosting discount server deal " * 30
+    words = spam.split()
+    for width in (1, 3, 5, 7, 150):
+        _, n, bad = stuffing.page_features("\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)))
+        assert bad * 2 > n
+    # code, sentences and a few items are no stuffing
+    for page in ("\n".join(["x = f(1);", "return x;"] * 20), "\n".join(["It works now.", "Nothing else changed."] * 20), "Setup\nUsage\nLicense", "\n".join(["12 40 7"] * 30)):
+        assert stuffing.page_features(page)[2] == 0
+
+
+def test_stuffed_pages_across_lines(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["#Deal", "#CheapHosting", "#CodeSearch"]) for _ in range(60)) if i % 4 == 0 else PROSE * rng.randint(2, 5), f"r{i % 3}") for i in range(400)]
+    rows += [(1000 + i, t, "r1") for i, t in enumerate(ACROSS_LINES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo_id string")
+    assert {r[0] for r in stuffing.stuffed_pages(df).collect()} == {i for i in range(0, 400, 4)} | {1000 + i for i in range(len(ACROSS_LINES))}
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(6)
     spam = lambda: " ".join(rng.choice(["#Deal", "#CheapHosting", "#CodeSearch"]) for _ in range(60))
