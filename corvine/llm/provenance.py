@@ -2,8 +2,10 @@
 
 1. Token-composition rules on the path, the language and the size name the plain cases.
 2. Every content hash of a vendored file marks its copies, wherever they lie.
-3. Edited copies: lines of the indexed chunks form an inverted index. A line is rare if few files hold
-   it. A file of which nearly all rare lines stand in vendored files of other repositories is a copy.
+3. Edited copies: lines of the indexed chunks form an inverted index. A line is rare if files of few
+   names hold it; versions and copies of a file share a name, so a popular library does not make its own
+   lines common. A file of which nearly all rare lines stand in vendored files of other repositories is a
+   copy; common lines (licence heads, boilerplate) count neither for nor against it.
    Each line carries only whether vendored files of another repository hold it, so containment is one
    aggregation over the postings and no pair of files is ever formed.
 """
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 DATA_BYTES = 200 * 1024
 #: Copies of standard files below this size say nothing about where they come from.
 COPY_BYTES = 2 * 1024
-#: Shortest line of the index; most files that hold a rare line; least lines and share of a copy.
-LINE_CHARS, RARE_FILES, COPY_LINES, COPY_SHARE = 20, 500, 5, 0.8
+#: Shortest line of the index; most names of files that hold a rare line; least lines and share of a copy.
+LINE_CHARS, RARE_NAMES, COPY_LINES, COPY_SHARE = 20, 500, 5, 0.8
 
 # Names by which tools, package managers and bundlers mark what they write.
 _CODE_EXTENSIONS = "c cc cpp cs cxx dart ex go h hpp java jl js jsx kt lua m mjs cjs mm php pl py r rb rs scala sh sql swift ts tsx vb zig"
@@ -55,6 +57,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(path), r"[\\/]+", "/"), r"^(?:\./|/)+", "")
 
 
+def plain_name(path: Column) -> Column:
+    """The file's name in lower case, without a version or a mark of minified code; versions of a file share it."""
+    base = F.lower(F.element_at(F.split(plain_path(path), "/"), -1))
+    return F.regexp_replace(F.regexp_replace(base, r"[-_.@]?v?\d+(?:\.\d+)+", ""), r"[._-]min(?=\.)", "")
+
+
 def token_rule(path: Column, language: Column, size: Column) -> Column:
     """vendored, minified, generated, data, or null where no rule fits; null paths and sizes fit none."""
     spelled = plain_path(path)
@@ -95,25 +103,28 @@ def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     once = once.withColumn("rule", token_rule(F.col("path"), F.col("language"), F.col("size_bytes")))
     # copies by content: one row for each hash, so the join never multiplies
     whole = F.when(F.col("size_bytes") >= COPY_BYTES, F.col("content_hash"))
-    hashes = once.filter((F.col("rule") == "vendored") & whole.isNotNull()).select("content_hash").distinct().withColumn("copied", F.lit(True))
-    known = once.join(hashes, "content_hash", "left")
+    named = once.withColumns({"name": plain_name(F.col("path")), "vendored_whole": (F.col("rule") == "vendored") & whole.isNotNull()})
+    hashes = named.groupBy("content_hash").agg(F.max("vendored_whole").alias("copied"), F.min("name").alias("shared_name")).filter("content_hash is not null")
+    known = named.join(hashes, "content_hash", "left")
     known = known.withColumn("kind", F.coalesce("rule", F.when(F.col("copied") & whole.isNotNull(), "vendored")))
 
     lines = chunks.filter("file_id is not null and content is not null").select("file_id", F.explode(F.split("content", "\r?\n")).alias("line"))
     lines = lines.select("file_id", F.trim("line").alias("line")).filter(F.length("line") >= LINE_CHARS)
     lines = lines.select("file_id", F.xxhash64("line").alias("line")).distinct()
-    owner = known.select(F.col("id").alias("file_id"), "repo_id", (F.col("kind") == "vendored").alias("vendored"), F.col("kind").isNull().alias("open"))
+    owner = known.select(F.col("id").alias("file_id"), "repo_id", (F.col("kind") == "vendored").alias("vendored"), F.col("kind").isNull().alias("open"), F.xxhash64(F.coalesce("shared_name", "name", "id")).alias("name"))
     postings = lines.join(owner, "file_id")
     source = F.when(F.col("vendored"), F.coalesce("repo_id", F.lit("")))
-    index = postings.groupBy("line").agg(F.count("*").alias("n"), F.min(source).alias("lo"), F.max(source).alias("hi"))
-    index = index.filter((F.col("n") <= RARE_FILES) & (F.col("n") > 1) & F.col("lo").isNotNull())
+    index = postings.groupBy("line", "name").agg(F.count("*").alias("n"), F.min(source).alias("lo"), F.max(source).alias("hi"))
+    index = index.groupBy("line").agg(F.sum("n").alias("n"), (F.count("*") > RARE_NAMES).alias("common"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    index = index.filter((F.col("n") > 1) & (F.col("common") | F.col("lo").isNotNull()))
     mine = F.coalesce("repo_id", F.lit(""))
-    held = postings.filter("open").join(index, "line").filter((F.col("lo") != mine) | (F.col("hi") != mine))
-    held = held.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_held"))
+    elsewhere = ~F.col("common") & ((F.col("lo") != mine) | (F.col("hi") != mine))
+    held = postings.filter("open").join(index, "line").groupBy(F.col("file_id").alias("id"))
+    held = held.agg(F.count_if(elsewhere).alias("n_held"), F.count_if("common").alias("n_common"))
     contained = lines.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_lines")).join(held, "id", "left")
     out = known.join(contained, "id", "left")
-    n, h = F.coalesce("n_lines", F.lit(0)), F.coalesce("n_held", F.lit(0))
-    edited = (h >= COPY_LINES) & (h >= COPY_SHARE * n)
+    n, h, common = (F.coalesce(c, F.lit(0)) for c in ("n_lines", "n_held", "n_common"))
+    edited = (h >= COPY_LINES) & (h >= COPY_SHARE * (n - common))
     return out.select(
         F.col("id").alias("file_id"),
         F.coalesce("kind", F.when(edited, "vendored")).alias("kind"),

@@ -227,6 +227,23 @@ def test_copies_and_edited_copies(spark):
     assert provenance.not_hand_written(spark.createDataFrame([], shape), spark.createDataFrame([], "id string, file_id string, content string")).count() == 0
 
 
+def test_edited_copies_of_popular_libraries(spark):
+    shape = "id string, repo_id string, path string, language string, content_hash string, size_bytes long"
+    lib = [f"const popular_library_line_{i} = compute({i});" for i in range(18)]
+    head = [f"// licence text that is held everywhere, line {i}" for i in range(8)]
+    files, chunks = [], []
+    for i in range(600):  # edited and vendored by many, and boilerplate in files of many names
+        files += [(f"v{i}", f"r{i}", f"vendor/lib/lib-1.{i}.0.js", "javascript", f"h{i}", 9000), (f"o{i}", f"r{i}", f"src/own_{chr(97 + i % 26)}{i}.js", "javascript", f"w{i}", 900)]
+        chunks += [(f"v{i}", "\n".join([*head, *lib, f"let vendored_edit_of_number_{i} = 1;"])), (f"o{i}", "\n".join([*head, *(f"let own_line_of_file_{i}_{j} = {j};" for j in range(6))]))]
+    files += [("edit", "x", "src/edited.js", "javascript", "e", 9000), ("heads", "x", "src/heads.js", "javascript", "f", 900)]
+    chunks += [("edit", "\n".join([*head, *lib, "let something_else_of_mine = 1;"])), ("heads", "\n".join(head))]
+    got = provenance.classified(spark.createDataFrame(files, shape), spark.createDataFrame([(f"c{f}", f, t) for f, t in chunks], "id string, file_id string, content string"))
+    kinds = {r["file_id"]: (r["kind"], r["by"], r["n_lines"], r["n_held"]) for r in got.collect()}
+    assert kinds["edit"] == ("vendored", "lines", 27, 18)
+    assert kinds["heads"] == (None, None, 8, 0)
+    assert all(kinds[f"o{i}"][0] is None and kinds[f"v{i}"][1] == "rule" for i in range(600))
+
+
 # Shared spans -------------------------------------------------------------------------------------------
 
 
