@@ -190,6 +190,25 @@ def test_verdicts_against_brute_force(spark):
     assert {r[0] for r in got.filter("keep").select("conversation_id").collect()} == keep
 
 
+LATE = "I cannot help with that request."
+
+
+@pytest.mark.parametrize(
+    "answer, refuses",
+    [
+        ("You ask how the queue is drained by the worker. The worker reads one shard after another. " + LATE, True),
+        ("The request is about the keys of the shards " + "and of the tables that belong to them " * 12 + "as far as I see. " + LATE, True),
+        ("Der Dienst liest die Tabelle. Danach kommt die nächste. Eine Prüfung gibt es auch. Dabei kann ich leider nicht helfen.", True),
+        ("The worker reads a shard. It then writes the row. The bot says \"" + LATE + "\" if it fails.", False),
+        ("The worker reads a shard. " * 12 + LATE, False),
+        ("The worker reads a shard. Then it runs this. " + LATE + "\n```\nrun()\n```", False),
+        ("The worker reads a shard. It then writes the row. Nothing else happens.", False),
+    ],
+)
+def test_refusals_anywhere_in_the_answer(answer, refuses):
+    assert (defects.votes("How is the queue drained?", answer, "[]")["refusal"] > 0) is refuses
+
+
 # Files --------------------------------------------------------------------------------------------------
 
 
