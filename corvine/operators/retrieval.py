@@ -195,10 +195,14 @@ def fuse(vector: DataFrame, keyword: DataFrame, top_k: int = 10, rrf_k: int = LI
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def hybrid_search(chunks: DataFrame, query: list[float], terms: list[str], top_k: int = 10) -> DataFrame:
-    """Both rankings to a depth of max(3 * top_k, 20), fused."""
+def hybrid_search(chunks: DataFrame, query: list[float], terms: str | list[str], top_k: int = 10) -> DataFrame:
+    """Both rankings to a depth of max(3 * top_k, 20), fused.
+
+    A string is a web-style query of the stemmed full-text search; a list holds unstemmed terms.
+    """
     depth = max(3 * top_k, 20)
-    return fuse(vector_search(chunks, query, depth), keyword_search(chunks, terms, depth), top_k)
+    ranked = full_text_search(chunks, terms, depth) if isinstance(terms, str) else keyword_search(chunks, terms, depth)
+    return fuse(vector_search(chunks, query, depth), ranked, top_k)
 
 
 def siblings(chunks: DataFrame, hits: DataFrame, per_hit: int = 3) -> DataFrame:

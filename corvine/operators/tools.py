@@ -66,7 +66,7 @@ class Tools:
         """(rank, citation, symbol_name, snippet, score, source)."""
         _text("query", query, 1, 500)
         _number("k", k, 1, SEARCH_HITS)
-        return cited(retrieval.hybrid_search(self._chunks(), vector, query.lower().split(), k), self.chunks, self.files)
+        return cited(retrieval.hybrid_search(self._chunks(), vector, query, k), self.chunks, self.files)
 
     def read_file(self, path: str, start: int = 1, end: int | None = None) -> DataFrame:
         _number("start", start, 1)

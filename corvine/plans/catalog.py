@@ -475,6 +475,11 @@ def hybrid_search(c):
     return retrieval.hybrid_search(c, _query_vector(c), TERMS).fillna(0, ["vector_rank", "keyword_rank"])
 
 
+@query(None, "chunks", raw=True)
+def hybrid_full_text(c):
+    return retrieval.hybrid_search(c, _query_vector(c), 'handles -widget OR "shard queue"').fillna(0, ["vector_rank", "keyword_rank"])
+
+
 _SIDE = """hf AS (SELECT DISTINCT file_id FROM c WHERE id IN (SELECT chunk_id FROM fu) AND file_id IS NOT NULL),
  sib AS (SELECT * FROM (SELECT id AS chunk_id, file_id, start_line, row_number() OVER (PARTITION BY file_id ORDER BY start_line NULLS LAST, id) AS k FROM c WHERE file_id IN (SELECT file_id FROM hf) AND id NOT IN (SELECT chunk_id FROM fu)) WHERE k <= 3),
  nf AS (SELECT DISTINCT x AS file_id FROM (SELECT target_file_id AS x FROM e WHERE source_file_id IN (SELECT file_id FROM hf) UNION SELECT source_file_id FROM e WHERE target_file_id IN (SELECT file_id FROM hf)) WHERE x NOT IN (SELECT file_id FROM hf)),

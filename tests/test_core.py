@@ -340,6 +340,19 @@ def test_services(spark):
     assert [r[0] for r in services.enqueue(queue, spark.createDataFrame([("1",), ("2",), ("2",)], "job_id string")).collect()] == ["2"]
 
 
+def test_hybrid_search_is_stemmed_for_a_query(spark):
+    rows = [("k1", None, "it handles opened files", [1.0, 0.0]), ("k2", None, "the open door of widgets", [0.0, 1.0]), ("k3", None, "nothing", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, symbol_name string, content string, embedding array<float>")
+
+    def found(terms):
+        return {r["chunk_id"] for r in retrieval.hybrid_search(df, [1.0, 0.0], terms).collect() if r["keyword_rank"]}
+
+    assert found("handle open") == {"k1"} and found("open -widget") == {"k1"} and found('"handle open" OR widget') == {"k1", "k2"}
+    assert found(["handle", "open"]) == {"k2"}
+    t = small_corpus(spark)
+    assert t.search_code('"alphas"', [0.0, 1.0]).filter("source = 'both'").count() == 2
+
+
 def test_full_text(spark):
     rows = [("a", "handleQueue", "it handles one queue and another queue"), ("b", None, "handling the queues"), ("c", None, "a widget handles it"), ("d", None, "nothing here"), ("e", None, None), ("f", None, "the shard queue"), ("g", None, "shard of queue")]
     df = spark.createDataFrame(rows, "id string, symbol_name string, content string")
