@@ -12,6 +12,9 @@ from corvine.scratch import cut
 #: Characters that are drawn as nothing although Unicode counts them as letters or marks.
 INVISIBLE = "͏ᅟᅠ឴឵᠎⠀ㅤ︎️ﾠ"
 
+#: Rows of a sorted block, about.
+BLOCK_ROWS = 200_000
+
 _VISIBLE = "[^\\s\\p{Z}\\p{C}" + INVISIBLE + "]"
 
 
@@ -30,17 +33,26 @@ def plain_role(role: Column) -> Column:
     return F.lower(F.regexp_replace(role, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", ""))
 
 
-def in_blocks(df: DataFrame, group: str, order: list[str], before: int) -> DataFrame:
-    """``df`` in sorted blocks of bounded size, for windows that look back at most ``before`` rows.
+def lay_blocks(df: DataFrame, group: str, order: list[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` in sorted blocks of about ``block_rows`` rows, numbered by ``_block``, as a written table.
 
-    Adds ``_block`` and ``_context``. A window partitioned by (group, _block) and ordered by ``order``
-    sees for each row that is not ``_context`` the same preceding ``before`` rows as one over the whole
-    group. Blocks come from a range partitioning by (group, order), so one group may fill many of them
-    and no task holds a whole group. Only groups that straddle a block's edge need context rows; each
-    edge cuts at most one group, which bounds what is broadcast by the number of partitions.
+    Blocks come from a range partitioning by (group, order), so one group may fill many of them and no
+    task holds a whole group. Their number follows from the number of rows.
     """
-    cols = df.columns
-    laid = cut(df.repartitionByRange(F.col(group), *map(F.col, order)).withColumn("_block", F.spark_partition_id()), "blocks")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-df.count() // block_rows))
+    return cut(df.repartitionByRange(parts, F.col(group), *map(F.col, order)).withColumn("_block", F.spark_partition_id()), "blocks")
+
+
+def with_context(laid: DataFrame, group: str, order: list[str], before: int) -> DataFrame:
+    """A table of ``lay_blocks``, or rows of it, for windows that look back at most ``before`` rows.
+
+    Adds ``_context``. A window partitioned by (group, _block) and ordered by ``order`` sees for each row
+    that is not ``_context`` the same preceding ``before`` rows as one over the whole group. Only groups
+    that straddle a block's edge need context rows; each edge cuts at most one group, which bounds what
+    is broadcast by the number of blocks.
+    """
+    cols = [c for c in laid.columns if c != "_block"]
     wide = laid.groupBy(group).agg(F.min("_block").alias("lo"), F.max("_block").alias("hi")).filter("lo < hi").select(group)
     cut_rows = laid.join(F.broadcast(wide), group, "left_semi")
     late = Window.partitionBy(group, "_block").orderBy(*[F.desc(c) for c in order])
@@ -54,3 +66,8 @@ def in_blocks(df: DataFrame, group: str, order: list[str], before: int) -> DataF
     context = reach.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= before)
     own = laid.select(*cols, "_block", F.lit(False).alias("_context"))
     return own.unionByName(context.select(*cols, "_block", F.lit(True).alias("_context")))
+
+
+def in_blocks(df: DataFrame, group: str, order: list[str], before: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``lay_blocks`` and ``with_context`` in one."""
+    return with_context(lay_blocks(df, group, order, block_rows=block_rows), group, order, before)

@@ -1,12 +1,15 @@
 """Rebuilding conversations from message rows, by scored reply links and link trees.
 
-Turns are ordered by time. Each turn's candidate parents are the earlier turns of the other role; a
-candidate scores by closeness in time, by mentions (identifiers and paths that both use), by the
-overlap of their words, and loses for every turn in between. The likeliest candidate above zero
-becomes the parent; turns without one are roots, and the links form trees.
-
-The score of a candidate ``d`` turns back is at most ``1 + MENTION + OVERLAP - STEP * (d - 1)``, which
-is not above zero from ``d = 7`` on, so looking at the six turns before is exact, not a cap.
+Turns are ordered by time and direct repetitions are left out. Each turn's candidate parents are the
+earlier turns of the other role. A candidate scores by closeness in time, by mentions (identifiers and
+paths that both use), by the overlap of their words, and loses for every turn in between. The turn just
+before scores more while speakers take turns; where two threads interleave (somebody spoke twice
+running) that bonus is gone and the other cues disentangle them. The likeliest candidate above zero
+becomes the parent; turns without one are roots, and the links form trees. A conversation is whole if
+its turns form one tree that never branches, from a user's root to an assistant's leaf.
+
+The score of a candidate ``d`` > 1 turns back is at most ``1 + MENTION + OVERLAP - STEP * (d - 1)``,
+which is not above zero from ``d = 7`` on, so looking at the six turns before is exact, not a cap.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import blank, in_blocks, plain_role
+from corvine.llm.common import blank, lay_blocks, plain_role, with_context
 from corvine.scratch import cut
 
 #: Weights of a candidate link. Closeness is 1 for no delay and falls with the hours between.
 MENTION, OVERLAP, STEP = 0.3, 0.5, 0.35
+#: For the turn just before while speakers take turns. It exceeds what mentions and overlap can give an
+#: older candidate, so a conversation that alternates throughout is always read as one thread.
+TURN = 1.0
 _REACH = 6
 
 _WORD = "[\\p{L}\\p{N}]{3,}"
@@ -31,32 +37,31 @@ def _clean(messages: DataFrame) -> DataFrame:
 
 
 def linked_turns(messages: DataFrame) -> DataFrame:
-    """(conversation_id, id, role, content, created_at, block, repeated, prev_role, parent_id, link_score).
+    """(conversation_id, id, role, content, created_at, block, parent_id, link_score): the turns and their links.
 
-    A row for each message that has a conversation, a time, and something visible to read. ``repeated``
-    marks a direct repetition (role and content of the turn before). ``parent_id`` is null for roots.
-    At equal times the user comes first, then the smaller id. Rows with equal id count once. Rows with
-    any other role stay in order but are never linked. ``block`` numbers the sorted blocks in which a
-    conversation lies. Further columns are ignored.
+    A row for each message that has a conversation, a time, and something visible to read, without direct
+    repetitions (role and content of the row before). ``parent_id`` is null for roots. At equal times
+    the user comes first, then the smaller id. Rows with equal id count once. Rows with any other role
+    stay in order but are never linked. ``block`` numbers the sorted blocks in which a conversation lies.
+    Further columns are ignored.
     """
     rows = _clean(messages).filter(F.col("created_at").isNotNull() & ~blank(F.col("content")))
     rows = rows.withColumn("side", F.when(F.col("role") == "user", 0).otherwise(1))
-    laid = in_blocks(rows, "conversation_id", ["created_at", "side", "id"], _REACH)
+    by = ["created_at", "side", "id"]
+    order = Window.partitionBy("conversation_id", "_block").orderBy(*by)
+    said = with_context(lay_blocks(rows, "conversation_id", by), "conversation_id", by, 1)
+    said = said.withColumn("repeated", (F.lag("role").over(order) == F.col("role")) & (F.lag("content").over(order) == F.col("content")))
+    turns = cut(said.filter(~F.col("_context") & ~F.coalesce("repeated", F.lit(False))).drop("_context", "repeated"), "said")
+    laid = with_context(turns, "conversation_id", by, _REACH)
     laid = laid.withColumns(
         {
             "words": F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(_WORD), F.lit(0))),
             "marks": F.array_distinct(F.regexp_extract_all("content", F.lit(_MARK), F.lit(0))),
+            # false where this speaker also spoke just before
+            "taken": F.coalesce(F.lag("role").over(order) != F.col("role"), F.lag("id").over(order).isNull()),
         }
     )
-    order = Window.partitionBy("conversation_id", "_block").orderBy("created_at", "side", "id")
-    past = F.collect_list(F.struct("id", "role", "created_at", "words", "marks")).over(order.rowsBetween(-_REACH, -1))
-    laid = laid.withColumns(
-        {
-            "past": past,
-            "prev_role": F.lag("role").over(order),
-            "prev_content": F.lag("content").over(order),
-        }
-    )
+    laid = laid.withColumn("past", F.collect_list(F.struct("id", "role", "created_at", "words", "marks", "taken")).over(order.rowsBetween(-_REACH, -1)))
 
     def score(c, i):
         far = F.size("past") - i
@@ -67,6 +72,7 @@ def linked_turns(messages: DataFrame) -> DataFrame:
             1 / (1 + hours)
             + F.when(F.arrays_overlap("marks", c["marks"]), MENTION).otherwise(0.0)
             + OVERLAP * F.coalesce(F.try_divide(both, either), F.lit(0.0))
+            + F.when((far == 1) & c["taken"], TURN).otherwise(0.0)
             - STEP * (far - 1)
         )
         known = c["role"].isin("user", "assistant") & F.col("role").isin("user", "assistant") & (c["role"] != F.col("role"))
@@ -75,31 +81,30 @@ def linked_turns(messages: DataFrame) -> DataFrame:
     best = F.array_max(F.filter(F.transform("past", score), lambda x: x.isNotNull()))
     return laid.withColumn("best", best).filter(~F.col("_context")).select(
         "conversation_id", "id", "role", "content", "created_at", F.col("_block").alias("block"),
-        F.coalesce((F.col("prev_role") == F.col("role")) & (F.col("prev_content") == F.col("content")), F.lit(False)).alias("repeated"),
-        "prev_role", F.col("best.id").alias("parent_id"), F.round("best.score", 9).alias("link_score"),
+        F.col("best.id").alias("parent_id"), F.round("best.score", 9).alias("link_score"),
     )
 
 
 def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | None = None) -> DataFrame:
-    """(conversation_id, keep, known, n_turns, n_roots, n_unanswered, reason) of every id in either table.
+    """(conversation_id, keep, known, n_turns, n_roots, n_branches, n_unanswered, reason) of every id in either table.
 
     A conversation is kept if it is in ``conversations``, all its message rows have a time and the role
-    user or assistant, and its turns (``repeated`` ones left out) go user, assistant, ..., from two
-    turns on and ending with the assistant. ``n_roots`` and ``n_unanswered`` (user turns that no turn
-    is linked to) describe its link trees. ``reason`` names the first rule that fails. All null
-    columns, empty tables and conversations without messages are defined: such a conversation is
-    dropped as ``empty``.
+    user or assistant, and its turns form one link tree without branches from a user's root to an
+    assistant's leaf. Links join earlier and later turns of different roles, so such a tree has its
+    turns go user, assistant, user, assistant, ... in the order of time; and turns that do so are linked
+    in this way. ``n_branches`` counts turns with more than one reply, ``n_unanswered`` user turns
+    without one. ``reason`` names the first rule that fails. All null columns, empty tables and
+    conversations without messages are defined: such a conversation is dropped as ``empty``.
     """
     turns = cut(linked_turns(messages), "turns") if turns is None else turns
-    at = F.struct("created_at", F.when(F.col("role") == "user", 0).otherwise(1).alias("side"), "id")
     replies = turns.filter("parent_id is not null").groupBy("conversation_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("n_replies"))
+    root, user = F.col("parent_id").isNull(), F.coalesce(F.col("role") == "user", F.lit(False))
     seen = turns.join(replies, ["conversation_id", "id"], "left").groupBy("conversation_id").agg(
-        F.count_if(~F.col("repeated")).alias("n_turns"),
-        F.count_if(F.col("parent_id").isNull()).alias("n_roots"),
-        F.count_if((F.col("role") == "user") & F.col("n_replies").isNull()).alias("n_unanswered"),
-        F.count_if(~F.col("repeated") & (F.col("prev_role") == F.col("role"))).alias("n_same"),
-        F.min_by("role", at).alias("first"),
-        F.max_by("role", at).alias("last"),
+        F.count("*").alias("n_turns"),
+        F.count_if(root).alias("n_roots"),
+        F.count_if(root & ~user).alias("n_odd_roots"),
+        F.count_if(F.col("n_replies") > 1).alias("n_branches"),
+        F.count_if(user & F.col("n_replies").isNull()).alias("n_unanswered"),
     )
     bad = F.col("created_at").isNull() | ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
     rows = _clean(messages).groupBy("conversation_id").agg(F.count_if(bad).alias("n_bad"))
@@ -109,12 +114,12 @@ def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | N
         F.when(F.col("known").isNull(), "unknown")
         .when(F.coalesce("n_bad", F.lit(0)) > 0, "broken")
         .when(F.coalesce("n_turns", F.lit(0)) == 0, "empty")
-        .when((F.col("n_same") > 0) | (F.col("first") != "user"), "out of turn")
-        .when((F.col("n_turns") < 2) | (F.col("last") != "assistant"), "no reply")
+        .when((F.col("n_roots") > 1) | (F.col("n_odd_roots") > 0) | (F.col("n_branches") > 0), "entangled")
+        .when(F.col("n_unanswered") > 0, "no reply")
     )
     return both.select(
         "conversation_id", reason.isNull().alias("keep"), F.coalesce("known", F.lit(False)).alias("known"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_turns", "n_roots", "n_unanswered")],
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_turns", "n_roots", "n_branches", "n_unanswered")],
         reason.alias("reason"),
     )
 
@@ -142,7 +147,7 @@ def rebuilt(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """
     turns = cut(linked_turns(messages), "turns")
     keep = verdicts(conversations, messages, turns).filter("keep").select("conversation_id")
-    kept = link_trees(turns).filter(~F.col("repeated")).join(keep, "conversation_id", "left_semi")
+    kept = link_trees(turns).join(keep, "conversation_id", "left_semi")
     sizes = kept.groupBy("conversation_id", "block").agg(F.count("*").alias("size"))
     before = Window.partitionBy("conversation_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     sizes = sizes.select("conversation_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))

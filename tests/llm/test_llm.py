@@ -138,8 +138,8 @@ def test_verdicts(spark):
     conversations, messages = verdict_rows(spark)
     got = {r["conversation_id"]: r["reason"] for r in threads.verdicts(conversations, messages).collect()}
     assert got == {
-        "ok": None, "ties": None, "again": None, "twice": "out of turn", "tail": "no reply", "role": "broken", "norole": "broken",
-        "notime": "broken", "blank": "empty", "first": "out of turn", "none": "empty", "lost": "unknown",
+        "ok": None, "ties": None, "again": None, "twice": "entangled", "tail": "no reply", "role": "broken", "norole": "broken",
+        "notime": "broken", "blank": "empty", "first": "entangled", "none": "empty", "lost": "unknown",
     }
     turns = threads.rebuilt(conversations, messages).orderBy("conversation_id", "turn").collect()
     assert [(r["conversation_id"], r["turn"], r["role"], r["depth"]) for r in turns if r["conversation_id"] == "ok"] == [("ok", 1, "user", 0), ("ok", 2, "assistant", 1)]
@@ -155,6 +155,55 @@ def test_links_prefer_mentions_and_overlap(spark):
     assert got["d-2"] == "d-1"
 
 
+def test_interleaved_threads_are_linked_apart(spark):
+    # speakers take turns until two threads mix; then mentions lead each answer back to its own question
+    rows = talk(
+        "mix", ("user", "hello there", 0), ("assistant", "good day", 1), ("user", "why does load_cache_index stall", 2), ("user", "where is parse_queue_row defined", 3),
+        ("assistant", "load_cache_index waits for the lock", 4), ("assistant", "parse_queue_row is in the reader", 5),
+    )
+    rows += talk("plain", ("user", "why is load_cache_index slow", 0), ("assistant", "it is large", 1), ("user", "and the other one", 2), ("assistant", "load_cache_index, why slow again", 3))
+    messages = spark.createDataFrame(rows, MESSAGE)
+    got = {r["id"]: r["parent_id"] for r in threads.linked_turns(messages).collect()}
+    assert got["mix-4"] == "mix-2" and got["mix-5"] == "mix-3" and got["mix-2"] == "mix-1"
+    assert [got[f"plain-{i}"] for i in range(4)] == [None, "plain-0", "plain-1", "plain-2"]
+    known = spark.createDataFrame([("mix",), ("plain",)], "id string")
+    seen = {r["conversation_id"]: (r["reason"], r["n_roots"], r["n_branches"], r["n_unanswered"]) for r in threads.verdicts(known, messages).collect()}
+    assert seen["plain"] == (None, 1, 0, 0) and seen["mix"][0] == "entangled"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_find_alternation_exactly(spark, seed):
+    rng = random.Random(seed)
+    texts = ["load_cache_index", "what is it", "a b c load_cache_index", "src/app.py", "nothing to see"]
+    rows, want = [], set()
+    for c in range(120):
+        roles = [rng.choice(("user", "assistant")) if rng.random() < 0.15 else ("user", "assistant")[i % 2] for i in range(rng.randint(1, 9))]
+        told = [(r, rng.choice(texts), i * rng.choice((1, 1, 400))) for i, r in enumerate(roles)]
+        rows += talk(f"c{c}", *told)
+        turns = []
+        for _, _, r, t in sorted((m, r != "user", r, t) for r, t, m in told):
+            if not turns or turns[-1] != (r, t):
+                turns.append((r, t))
+        if len(turns) > 1 and len(turns) % 2 == 0 and all(r == ("user", "assistant")[i % 2] for i, (r, _) in enumerate(turns)):
+            want.add(f"c{c}")
+    known = spark.createDataFrame([(f"c{c}",) for c in range(120)], "id string")
+    got = threads.verdicts(known, spark.createDataFrame(rows, MESSAGE)).filter("keep")
+    assert 8 < len(want) < 110 and {r["conversation_id"] for r in got.collect()} == want
+
+
+def test_repetitions_over_many_blocks_count_once(spark):
+    rows = talk("hot", ("user", "q", 0), *[("assistant", "same words", i) for i in range(1, 400)], ("user", "next", 401), ("assistant", "done", 402))
+    messages = spark.createDataFrame(rows, MESSAGE)
+    known = spark.createDataFrame([("hot",)], "id string")
+    old = threads.lay_blocks
+    threads.lay_blocks = lambda df, group, by: old(df, group, by, block_rows=20)
+    try:
+        turns = threads.rebuilt(known, messages).orderBy("turn").collect()
+    finally:
+        threads.lay_blocks = old
+    assert [(r["turn"], r["role"], r["depth"]) for r in turns] == [(1, "user", 0), (2, "assistant", 1), (3, "user", 2), (4, "assistant", 3)]
+
+
 def test_blocks_look_back_over_their_edges(spark):
     from pyspark.sql import Window
 
