@@ -255,7 +255,7 @@ LATE = "I cannot help with that request."
     ],
 )
 def test_refusals_anywhere_in_the_answer(answer, refuses):
-    assert (defects.votes("How is the queue drained?", answer, "[]")["refusal"] > 0) is refuses
+    assert (defects.votes("How is the queue drained?", answer, "[]")["refusal"] & 1 > 0) is refuses
 
 
 # Files --------------------------------------------------------------------------------------------------
@@ -396,23 +396,52 @@ OK = "The loader keeps a sorted queue until the parser has finished with it."
     ],
 )
 def test_votes(q, a, parts, want):
-    got = [d for d in defects.DEFECTS if defects.votes(q, a, parts)[d]]
-    assert (got[0] if got else None) == want
+    # the first function of each sign is the precise one; the others may fire on sound answers too
+    got = {defects.TELLS[s] for s, v in defects.votes(q, a, parts).items() if v & 1}
+    assert (next(d for d in defects.DEFECTS if d in got) if got else None) == want
 
 
-def test_label_model_finds_noisy_functions():
+def test_label_model_learns_which_functions_are_noisy():
     rng = random.Random(5)
+    hit, noise = (0.9, 0.7, 0.6, 0.5, 0.6), (0.0005, 0.01, 0.0005, 0.5, 0.2)
+    draw = lambda rates: sum((rng.random() < r) << j for j, r in enumerate(rates))
     counts, truth = {}, {}
-    for _ in range(20_000):
+    for _ in range(40_000):
         bad = rng.random() < 0.03
-        p = sum((rng.random() < ((0.6, 0.5, 0.4)[j] if bad else (0.0002, 0.0003, 0.0002)[j])) << j for j in range(3))
+        p = draw(hit if bad else noise)
         counts[p] = counts.get(p, 0) + 1
         truth[p] = truth.get(p, 0) + bad
-    model = defects.LabelModel(3, counts)
-    least = model.cutoff(counts)
+    cases = [{}, {}]
+    for i in range(2000):
+        p = draw(hit)
+        cases[i % 2][p] = cases[i % 2].get(p, 0) + 1
+    model = defects.LabelModel(5, counts, cases[0])
+    least = model.cutoff(cases[1], counts)
     kept = {p for p in counts if model.posterior(p) >= least}
     right, size = sum(truth[p] for p in kept), sum(counts[p] for p in kept)
-    assert right / size > 0.95 and right / sum(v for p, v in truth.items() if p) > 0.95 and model.posterior(0) == 0
+    assert right / size > 0.9 and right / sum(truth.values()) > 0.9
+    # one that fires on half of all answers, and one that fires on a hundredth of the sound ones, say nothing alone
+    assert 0.8 < model.hit[3] / model.noise[3] < 1.25 and model.posterior(8) < 0.01 and model.posterior(2) < least and model.posterior(16) < 0.01
+    assert abs(model.noise[1] - 0.01) < 0.003 and abs(model.noise[4] - 0.2) < 0.01
+
+
+def test_made_cases_hold_their_defect():
+    pairs = [("How does the loader work and why is it so slow?", f"{OK} {OK}\n```py\n" + "x = load(1)\ny = 2\n" * 4 + "```", "[]"), ("Wie arbeitet der Lader und warum ist er so langsam?", "Der Lader hält die Liste sortiert, bis der Parser damit fertig ist und nicht mehr wartet.", "[]")] * 8
+    seen = {}
+    for _, sign, case in defects.made_cases(pairs):
+        seen.setdefault(sign, []).append(defects.votes(*case)[sign] & 1)
+    assert set(seen) == set(defects.SIGNS) and all(sum(v) >= 0.9 * len(v) for v in seen.values())
+    assert list(defects.made_cases([(None, "x", None), ("q", None, None)])) == []
+
+
+@needs_data
+def test_votes_are_more_than_labels(spark):
+    messages = read(spark, "messages")
+    pairs = defects.answer_pairs(messages).collect()
+    voted = {(r["message_id"], defects.TELLS[s]) for r in pairs for s, v in defects.votes(r["question"], r["answer"], r["parts"]).items() if v}
+    sure = {(r["message_id"], defects.TELLS[s]) for r in pairs for s, v in defects.votes(r["question"], r["answer"], r["parts"]).items() if v & 1}
+    got = {(r["message_id"], r["defect"]) for r in defects.labels(messages).collect()}
+    assert got < voted and len(got) < len(voted) / 3 and len(got & sure) >= 0.95 * max(len(got), len(sure))
 
 
 def test_answer_pairs_and_labels(spark):
