@@ -1,11 +1,13 @@
 """Keyword-stuffed and link-list pages, by bagged trees on weak labels and host-level smoothing.
 
-Every page is measured line by line: how many of its words stand in keyword repetitions, bare links
-or tag lists, and further content and link features. Pages on which simple cues agree get weak labels;
-bagged decision trees learn from a bounded sample of them and score every page. Scores are smoothed
-with the spam rate of the page's host (here the repository it belongs to), and pages that stay likely
-are confirmed by the share of their words that is no sentence, code, log or diagram. Lines that tell
-nothing one by one are judged together, so wrapping a page does not change its verdict.
+Every page is read line by line: what share of its words stands in sentences, bare links, tags, lines
+that repeat keywords, or lists, and how it is punctuated and wrapped. These are the content and link
+features. Weak labels come from other cues, counted over the page as a whole: the rates of links,
+hashtags, tags, of grammatical and of distinct words, of the most frequent word, and of code. Bagged
+decision trees learn from a bounded sample of weakly labelled pages and score every page. Scores are
+smoothed with the spam rate of the page's host (here the repository it belongs to), and the smoothed
+score decides. Lines that tell nothing one by one are judged together, so wrapping a page does not
+change its features.
 """
 
 from __future__ import annotations
@@ -27,16 +29,15 @@ TRAIN_ROWS = 4_000
 TREES, DEPTH = 12, 5
 #: Weight of the host's rate, and pages' worth of the global rate in it.
 HOST_WEIGHT, HOST_PRIOR = 0.3, 20.0
-#: Smoothed score from which a page is a candidate for confirmation.
-CANDIDATE = 0.15
-#: Smoothed score from which the trees admit a page that is mostly no sentence, code, log or diagram.
-ADMITTED = 0.5
+#: Smoothed score from which a page is stuffed.
+DECIDED = 0.5
 #: Short lines from which they are a list of link texts.
 LIST_LINES = 8
 #: Copies of each host's rate in the join, against hosts that hold much of the corpus.
 SALTS = 16
 
-FEATURES = ("stuffed", "grammar", "distinct", "top", "links", "hashtags", "tags", "separators", "stops", "repeats")
+FEATURES = ("stuffed", "prose", "linked", "tagged", "repeating", "listed", "loose", "separators", "stops", "repeats", "short")
+CUES = ("links", "hashtags", "tags", "top", "distinct", "grammar", "technical")
 
 # Words that hold sentences together, by language; those common in names of things are left out.
 _GRAMMAR = frozenset(
@@ -83,14 +84,10 @@ class _Loose:
         return again >= 0.25 * self.n or self.lines >= LIST_LINES and self.short >= 0.9 * self.lines and self.ended <= 0.1 * self.lines
 
 
-def page_features(text: str) -> tuple[list[float], int, int]:
-    """(features, words, stuffed words) of a page."""
-    return _page(text)[:3]
-
-
-def _page(text: str) -> tuple[list[float], int, int, int]:
-    """(features, words, stuffed words, further words that are no sentence, code, log or diagram) of a page."""
-    words = stuffed = links = hashtags = tags = separators = stops = grammar = repeats = 0
+def page_features(text: str) -> tuple[list[float], list[float], int]:
+    """(features, cues, words) of a page; all but the last are shares of its words."""
+    words = links = hashtags = tags = separators = stops = grammar = repeats = 0
+    prose = technical = linked = tagged_words = repeating = short = 0
     counts: dict[str, int] = {}
     loose = _Loose()
     fence = False
@@ -109,6 +106,7 @@ def _page(text: str) -> tuple[list[float], int, int, int]:
             continue
         words += n
         if fence:
+            technical += n
             continue
         urls = line.count("http://") + line.count("https://")
         plain = [t.lower() for t in tokens if not t.startswith("http")]
@@ -126,51 +124,59 @@ def _page(text: str) -> tuple[list[float], int, int, int]:
         stops += line.count(". ") + line.endswith((".", "!", "?"))
         again = len(plain) - len(set(plain))
         repeats += again
+        short += n * (n < 6)
         held = hold >= 0.12 * max(1, len(plain))
         bare = urls > 0 and (hold == 0 if len(plain) < 16 and urls == 1 else hold < 0.1 * len(plain))
-        if bare or hashed * 2 >= n and hashed >= 3 or tagged and not held:
-            stuffed += n
-        elif held or line[0] == "#" and line[1:2] in " #" or _LOG.search(line) or _DRAWN.search(line):
-            continue
+        if bare:
+            linked += n
+        elif hashed * 2 >= n and hashed >= 3 or tagged and not held:
+            tagged_words += n
+        elif held or line[0] == "#" and line[1:2] in " #":
+            prose += n
+        elif _LOG.search(line) or _DRAWN.search(line):
+            technical += n
         elif n < 6:
             loose.add(line, n, plain, hold)
         elif again >= 0.25 * len(plain) and hold < 0.06 * len(plain) and not (marks < 3 and _CODE.search(line)):
-            stuffed += n
+            repeating += n
         elif marks >= 5 and hold < 0.04 * len(plain) and not _CODE.search(line):
-            stuffed += n
+            repeating += n
         else:
             loose.add(line, n, plain, hold)
     # repetition and lists are the same whether a page is wrapped or not
-    if loose.stuffed():
-        stuffed += loose.n
-        loose.n = 0
+    listed = loose.n if loose.stuffed() else 0
     w = max(1, words)
-    top = max(counts.values(), default=0) / w
-    share = [stuffed / w, grammar / w, len(counts) / w, top, links / w, hashtags / w, tags / w, separators / w, stops / w, repeats / w]
-    return share, words, stuffed, loose.n
+    technical += max(0, words - prose - technical - linked - tagged_words - repeating - loose.n)  # lines of code, numbers and signs
+    stuffed = linked + tagged_words + repeating + listed
+    features = [stuffed, prose, linked, tagged_words, repeating, listed, loose.n - listed, separators, stops, repeats, short]
+    cues = [links, hashtags, tags, max(counts.values(), default=0), len(counts), grammar, technical]
+    return [x / w for x in features], [x / w for x in cues], words
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [_page(t) for t in pdf["text"]]
-        yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "host": pdf["host"], "features": [r[0] for r in rows], "n_words": [r[1] for r in rows], "n_stuffed": [r[2] for r in rows], "n_loose": [r[3] for r in rows]}
-        )
+        rows = [page_features(t) for t in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "features": [r[0] for r in rows], "cues": [r[1] for r in rows], "n_words": [r[2] for r in rows]})
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, features, n_words, n_stuffed, n_loose, weak): a row for each page with text; weak is null if unsure."""
+    """(doc_id, host, features, n_words, weak, clear): a row for each page with text; weak is null if unsure.
+
+    A page is weakly spam if two cues agree and hardly a word is grammatical, weakly sound if at most one
+    cue speaks and it is made of grammatical words or code. ``clear`` is false where one cue or the stuffed
+    share of its words disagrees; such pages are rare and show the trees where to draw the line.
+    """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("repo_id").cast("string"), F.lit("")).alias("host"), "text")
     source = source.filter("doc_id is not null and text is not null")
-    rows = source.mapInPandas(_measure, "doc_id long, host string, features array<double>, n_words long, n_stuffed long, n_loose long")
-    f = dict(zip(FEATURES, (F.col("features")[i] for i in range(len(FEATURES)))))
-    cues = (f["links"] > 0.12).cast("int") + (f["hashtags"] > 0.2).cast("int") + (f["tags"] > 0.1).cast("int") + (f["top"] > 0.15).cast("int") + (f["distinct"] < 0.4).cast("int") + (f["stuffed"] > 0.6).cast("int")
-    sure = F.when((cues >= 2) & (f["grammar"] < 0.08), 1.0).when((cues == 0) & (f["grammar"] > 0.15) & (f["stuffed"] < 0.3), 0.0)
-    return rows.withColumn("weak", sure)
+    rows = source.mapInPandas(_measure, "doc_id long, host string, features array<double>, cues array<double>, n_words long")
+    c = dict(zip(CUES, (F.col("cues")[i] for i in range(len(CUES)))))
+    said = (c["links"] > 0.12).cast("int") + (c["hashtags"] > 0.2).cast("int") + (c["tags"] > 0.1).cast("int") + (c["top"] > 0.15).cast("int") + ((c["distinct"] < 0.4) & (c["technical"] < 0.5)).cast("int")
+    sure = F.when((said >= 2) & (c["grammar"] < 0.08) & (c["technical"] < 0.4), 1.0).when((said <= 1) & ((c["grammar"] > 0.15) | (c["technical"] > 0.5)), 0.0)
+    return rows.select("doc_id", "host", "features", "n_words", sure.alias("weak"), ((said >= 2) | (said == 0) & (F.col("features")[0] == 0)).alias("clear"))
 
 
 def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, n_words, n_stuffed, n_loose, score, smoothed): the trees' score and the one smoothed by host.
+    """(doc_id, n_words, score, smoothed): the trees' score and the one smoothed by host.
 
     A null repo_id is a host of its own. Null texts are no pages; empty ones have no words and score
     like any other. Without weak labels of both kinds the stuffed share itself is the score. An empty
@@ -178,14 +184,14 @@ def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """
     pages = cut(measured(documents), "pages")
     known = pages.filter("weak is not null")
-    half = train_rows // 2
-    per = {r["weak"]: r["count"] for r in known.groupBy("weak").count().collect()}  # two rows at most
-    if len(per) == 2:
-        # a repeatable sample of both kinds, by hash
+    per = {(r["weak"], r["clear"]): r["count"] for r in known.groupBy("weak", "clear").count().collect()}  # three rows at most
+    if len({weak for weak, _ in per}) == 2:
+        # a repeatable sample by hash: half of each kind, of the sound ones half such as a cue speaks against
         part = None
-        for weak, n in per.items():
-            share = int(1_000_000 * min(1.0, 1.2 * half / n)) + 1
-            one = known.filter((F.col("weak") == weak) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).limit(half)
+        for (weak, clear), n in per.items():
+            most = train_rows // (2 if weak else 4)
+            share = int(1_000_000 * min(1.0, 1.2 * most / n)) + 1
+            one = known.filter((F.col("weak") == weak) & (F.col("clear") == clear) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).limit(most)
             part = one if part is None else part.unionByName(one)
         train = part.select(array_to_vector("features").alias("x"), F.col("weak").alias("label")).coalesce(2).cache()
         trees = RandomForestClassifier(
@@ -196,11 +202,11 @@ def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
         seen = trees.transform(pages.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("p")[1])
     else:
         seen = pages.withColumn("score", F.col("features")[0])
-    seen = seen.select("doc_id", "host", "n_words", "n_stuffed", "n_loose", "score")
+    seen = cut(seen.select("doc_id", "host", "n_words", "score"), "scores")
     hosts = seen.groupBy("host").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
     total = seen.agg(F.avg("score")).first()[0]
     if total is None:
-        return seen.select("doc_id", "n_words", "n_stuffed", "n_loose", "score", F.col("score").alias("smoothed"))
+        return seen.select("doc_id", "n_words", "score", F.col("score").alias("smoothed"))
 
     def logit(x):
         x = F.least(F.greatest(x, F.lit(1e-4)), F.lit(1 - 1e-4))
@@ -210,13 +216,9 @@ def scored(documents: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
     rate = rate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     shifted = logit(F.col("score")) + HOST_WEIGHT * (logit(F.col("rate")) - logit(F.lit(total)))
-    return salted.join(rate, ["host", "salt"]).select("doc_id", "n_words", "n_stuffed", "n_loose", "score", (1 / (1 + F.exp(-shifted))).alias("smoothed"))
+    return salted.join(rate, ["host", "salt"]).select("doc_id", "n_words", "score", (1 / (1 + F.exp(-shifted))).alias("smoothed"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id): candidates of the smoothed trees of which more than half of the words are stuffed.
-
-    Where the trees are sure, words of other lines that are no sentence, code, log or diagram count too.
-    """
-    bad = F.col("n_stuffed") + F.when(F.col("smoothed") >= ADMITTED, F.col("n_loose")).otherwise(0)
-    return scored(documents).filter((F.col("smoothed") >= CANDIDATE) & (bad * 2 > F.col("n_words"))).select("doc_id").distinct()
+    """(doc_id): the pages with words whose smoothed score reaches ``DECIDED``."""
+    return scored(documents).filter((F.col("smoothed") >= DECIDED) & (F.col("n_words") > 0)).select("doc_id").distinct()

@@ -586,8 +586,7 @@ PROSE = "The parser keeps a sorted queue until the loader has finished with it,
     ],
 )
 def test_page_shares(text, stuffed):
-    _, words, bad = stuffing.page_features(text)
-    assert (bad * 2 > words) is stuffed
+    assert (stuffing.page_features(text)[0][0] > 0.5) is stuffed
 
 
 LINK_TEXTS = ["Home", "About us", "Contact", "Pricing plans", "Free download", "Partner sites", "Best hosting", "Cheap domains", "Latest offers", "Site map", "Login page", "Top reviews"]
@@ -601,19 +600,17 @@ ACROSS_LINES = [
 
 @pytest.mark.parametrize("text", ACROSS_LINES)
 def test_stuffing_across_lines(text):
-    _, words, bad = stuffing.page_features(text)
-    assert bad * 2 > words
+    assert stuffing.page_features(text)[0][0] > 0.5
 
 
 def test_wrapped_pages_and_short_lists():
     spam = "cheap hosting discount server deal " * 30
     words = spam.split()
     for width in (1, 3, 5, 7, 150):
-        _, n, bad = stuffing.page_features("\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)))
-        assert bad * 2 > n
+        assert stuffing.page_features("\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)))[0][0] > 0.5
     # code, sentences and a few items are no stuffing
     for page in ("\n".join(["x = f(1);", "return x;"] * 20), "\n".join(["It works now.", "Nothing else changed."] * 20), "Setup\nUsage\nLicense", "\n".join(["12 40 7"] * 30)):
-        assert stuffing.page_features(page)[2] == 0
+        assert stuffing.page_features(page)[0][0] == 0
 
 
 def test_stuffed_pages_across_lines(spark):
@@ -624,6 +621,22 @@ def test_stuffed_pages_across_lines(spark):
     assert {r[0] for r in stuffing.stuffed_pages(df).collect()} == {i for i in range(0, 400, 4)} | {1000 + i for i in range(len(ACROSS_LINES))}
 
 
+def test_trees_and_hosts_decide(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    code = "\n".join(f"x{i} = load({i}); store(x{i});" for i in range(30))
+    odd = lambda: " ".join(rng.choice(words) for _ in range(60))  # noqa: E731  neither a sentence nor a known kind of stuffing
+    spam = lambda: " ".join(rng.choice(["#Deal", "#CheapHosting", "#CodeSearch"]) for _ in range(60))
+    rows = [(i, spam() if i % 4 == 0 else code if i % 4 == 1 else PROSE * rng.randint(2, 5), "mixed") for i in range(400)]
+    rows += [(1000 + i, spam(), "farm") for i in range(200)] + [(2000, odd(), "farm"), (2001, PROSE * 3, "farm")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo_id string")
+    got = {r["doc_id"]: r for r in stuffing.scored(df).collect()}
+    assert all(got[i]["score"] < 0.5 for i in range(400) if i % 4) and all(got[i]["score"] > 0.5 for i in range(0, 400, 4))
+    assert got[2001]["smoothed"] < 0.5 and got[2000]["smoothed"] > got[2000]["score"]
+    found = {r[0] for r in stuffing.stuffed_pages(df).collect()}
+    assert found == {i for i, r in got.items() if r["smoothed"] >= stuffing.DECIDED}
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(6)
     spam = lambda: " ".join(rng.choice(["#Deal", "#CheapHosting", "#CodeSearch"]) for _ in range(60))
