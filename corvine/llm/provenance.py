@@ -1,13 +1,17 @@
 """Files that are not hand-written: generated, minified, vendored, or data saved as code.
 
-1. Token-composition rules on the path, the language and the size name the plain cases.
+1. Token rules on the path, the language and the size name the plain cases.
 2. Every content hash of a vendored file marks its copies, wherever they lie.
 3. Edited copies: lines of the indexed chunks form an inverted index. A line is rare if files of few
    names hold it; versions and copies of a file share a name, so a popular library does not make its own
-   lines common. A file of which nearly all rare lines stand in vendored files of other repositories is a
-   copy; common lines (licence heads, boilerplate) count neither for nor against it.
-   Each line carries only whether vendored files of another repository hold it, so containment is one
-   aggregation over the postings and no pair of files is ever formed.
+   lines common. A file of which nearly all rare lines stand in one vendored file (in any of its
+   versions) of other repositories is a copy; common lines (licence heads, boilerplate) count neither for
+   nor against it. Each line first carries only whether any vendored file of another repository holds it:
+   containment in all of them together is necessary, costs one aggregation over the postings, and leaves
+   few files, for which the lines held by each single source are then counted. No pair of files is formed
+   for any other.
+4. The composition of what is left tells minified code (its characters stand in very long lines without
+   blanks), generated code (its head says so) and data (nearly all of it is literals).
 """
 
 from __future__ import annotations
@@ -15,12 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.scratch import cut
+
 #: Bytes from which a file with the extension of a programming language is bulk data.
 DATA_BYTES = 200 * 1024
-#: Copies of standard files below this size say nothing about where they come from.
-COPY_BYTES = 2 * 1024
+#: Below this size, where standard files are alike by chance, a content is third-party if most of its holders are.
+TINY_BYTES = 2 * 1024
 #: Shortest line of the index; most names of files that hold a rare line; least lines and share of a copy.
 LINE_CHARS, RARE_NAMES, COPY_LINES, COPY_SHARE = 20, 500, 5, 0.8
+#: Least share of a copy's bytes that the held lines make up: a snippet in a long file makes no copy of it.
+COPY_BYTES_SHARE = 0.5
+#: Characters of a very long line; least share of a minified file's characters in such lines, and most of blanks.
+LONG_LINE, LONG_SHARE, BLANK_SHARE = 500, 0.6, 0.08
+#: Least share of a data file's characters in numbers, strings and what separates them, and least characters of it.
+LITERAL_SHARE, LITERAL_CHARS = 0.9, 4_000
 
 # Names by which tools, package managers and bundlers mark what they write.
 _CODE_EXTENSIONS = "c cc cpp cs cxx dart ex go h hpp java jl js jsx kt lua m mjs cjs mm php pl py r rb rs scala sh sql swift ts tsx vb zig"
@@ -63,6 +75,12 @@ def plain_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(base, r"[-_.@]?v?\d+(?:\.\d+)+", ""), r"[._-]min(?=\.)", "")
 
 
+def plain_source(path: Column) -> Column:
+    """The last folder and the plain name: which file of which library, in any version."""
+    folder = F.element_at(F.split(F.lower(plain_path(path)), "/"), -2)
+    return F.concat_ws("/", F.regexp_replace(folder, r"[-_.@]?v?\d+(?:\.\d+)+", ""), plain_name(path))
+
+
 def token_rule(path: Column, language: Column, size: Column) -> Column:
     """vendored, minified, generated, data, or null where no rule fits; null paths and sizes fit none."""
     spelled = plain_path(path)
@@ -91,46 +109,83 @@ def token_rule(path: Column, language: Column, size: Column) -> Column:
     return F.when(vendored, "vendored").when(minified, "minified").when(generated, "generated").when(data, "data")
 
 
+# What generators write into the comment at the head of a file.
+_COMMENT = r"[ \t]*(?://|#|--|;|/?\*+|<!--|\"\"\")"
+_GENERATED_HEAD = rf"(?i)\A\s*(?:{_COMMENT}.*\r?\n)*?{_COMMENT}.*(?:@generated|\bauto-?generated\b|\bgenerated (?:by|from|code|file)\b|\bdo not edit\b)"
+_LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'|\b0[xX][0-9a-fA-F]+\b|\b[0-9][0-9._eE+-]*\b|[\s,;:{}\[\]()]"
+
+
+def composition(chunks: DataFrame) -> DataFrame:
+    """(file_id, composed): minified, generated or data by what the file's chunks are made of, else null."""
+    text = F.col("content")
+    n = F.length(text)
+    rest = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))
+    rows = chunks.filter("file_id is not null and content is not null").select(
+        "file_id", n.alias("n"), rest(rf"(?m)^.{{{LONG_LINE},}}$").alias("long"), rest(r"\s+").alias("blank"),
+        rest(_LITERAL).alias("literal"), text.rlike(_GENERATED_HEAD).alias("marked"),
+    )
+    sums = rows.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in ("n", "long", "blank", "literal")], F.max("marked").alias("marked"))
+    kind = (
+        F.when(F.col("marked"), "generated")
+        .when((F.col("long") >= LONG_SHARE * F.col("n")) & (F.col("blank") <= BLANK_SHARE * F.col("n")) & (F.col("literal") < LITERAL_SHARE * F.col("n")), "minified")
+        .when((F.col("n") >= LITERAL_CHARS) & (F.col("literal") >= LITERAL_SHARE * F.col("n")), "data")
+    )
+    return sums.select("file_id", kind.alias("composed"))
+
+
 def classified(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file_id, kind, by, n_lines, n_held): each file id once; kind is null for hand-written files.
 
-    ``by`` is rule, copy or lines; ``n_lines`` counts the distinct lines of a file that are long enough,
-    ``n_held`` the rare ones that vendored files of other repositories hold. Null paths, languages, sizes or hashes never match a rule;
-    rows with equal id count once; chunks of unknown files, null or empty contents are ignored, and so
-    are further columns. Empty tables give an empty result.
+    ``by`` is rule, copy, lines or tokens; ``n_lines`` counts the distinct lines of a file that are long
+    enough, ``n_held`` the rare ones that vendored files of other repositories hold (of edited copies,
+    those that one source holds). Null paths, languages, sizes or hashes never match a rule; rows with
+    equal id count once; chunks of unknown files, null or empty contents are ignored, and so are further
+    columns. Empty tables give an empty result.
     """
     once = files.select("id", "repo_id", "path", "language", "content_hash", "size_bytes").filter("id is not null").dropDuplicates(["id"])
-    once = once.withColumn("rule", token_rule(F.col("path"), F.col("language"), F.col("size_bytes")))
+    once = once.withColumns({"rule": token_rule(F.col("path"), F.col("language"), F.col("size_bytes")), "name": plain_name(F.col("path"))})
     # copies by content: one row for each hash, so the join never multiplies
-    whole = F.when(F.col("size_bytes") >= COPY_BYTES, F.col("content_hash"))
-    named = once.withColumns({"name": plain_name(F.col("path")), "vendored_whole": (F.col("rule") == "vendored") & whole.isNotNull()})
-    hashes = named.groupBy("content_hash").agg(F.max("vendored_whole").alias("copied"), F.min("name").alias("shared_name")).filter("content_hash is not null")
-    known = named.join(hashes, "content_hash", "left")
-    known = known.withColumn("kind", F.coalesce("rule", F.when(F.col("copied") & whole.isNotNull(), "vendored")))
+    third = F.coalesce(F.col("rule") == "vendored", F.lit(False))
+    tiny = F.max(F.coalesce(F.col("size_bytes"), F.lit(0))) < TINY_BYTES
+    hashes = once.filter("content_hash is not null").groupBy("content_hash").agg(
+        (F.max(third) & (~tiny | (2 * F.count_if(third) > F.count("*")))).alias("copied"), F.min("name").alias("shared_name")
+    )
+    known = once.join(hashes, "content_hash", "left").select(
+        F.col("id").alias("file_id"), "repo_id", "rule", "size_bytes", F.coalesce("rule", F.when(F.col("copied"), "vendored")).alias("kind"),
+        F.xxhash64(F.coalesce("shared_name", "name", "id")).alias("name"), F.xxhash64(F.coalesce(plain_source(F.col("path")), "id")).alias("source"),
+    )
+    known = cut(known, "files")
 
     lines = chunks.filter("file_id is not null and content is not null").select("file_id", F.explode(F.split("content", "\r?\n")).alias("line"))
     lines = lines.select("file_id", F.trim("line").alias("line")).filter(F.length("line") >= LINE_CHARS)
-    lines = lines.select("file_id", F.xxhash64("line").alias("line")).distinct()
-    owner = known.select(F.col("id").alias("file_id"), "repo_id", (F.col("kind") == "vendored").alias("vendored"), F.col("kind").isNull().alias("open"), F.xxhash64(F.coalesce("shared_name", "name", "id")).alias("name"))
-    postings = lines.join(owner, "file_id")
-    source = F.when(F.col("vendored"), F.coalesce("repo_id", F.lit("")))
-    index = postings.groupBy("line", "name").agg(F.count("*").alias("n"), F.min(source).alias("lo"), F.max(source).alias("hi"))
-    index = index.groupBy("line").agg(F.sum("n").alias("n"), (F.count("*") > RARE_NAMES).alias("common"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    index = index.filter((F.col("n") > 1) & (F.col("common") | F.col("lo").isNotNull()))
+    lines = lines.select("file_id", F.xxhash64("line").alias("line"), F.length("line").alias("size")).distinct()
     mine = F.coalesce("repo_id", F.lit(""))
-    elsewhere = ~F.col("common") & ((F.col("lo") != mine) | (F.col("hi") != mine))
-    held = postings.filter("open").join(index, "line").groupBy(F.col("file_id").alias("id"))
-    held = held.agg(F.count_if(elsewhere).alias("n_held"), F.count_if("common").alias("n_common"))
-    contained = lines.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_lines")).join(held, "id", "left")
-    out = known.join(contained, "id", "left")
-    n, h, common = (F.coalesce(c, F.lit(0)) for c in ("n_lines", "n_held", "n_common"))
-    edited = (h >= COPY_LINES) & (h >= COPY_SHARE * (n - common))
+    vendored = F.coalesce(F.col("kind") == "vendored", F.lit(False))
+    owner = known.select("file_id", "name", "source", mine.alias("repo"), vendored.alias("vendored"), F.col("kind").isNull().alias("open"))
+    postings = cut(lines.join(owner, "file_id"), "postings")
+    from_repo = F.when(F.col("vendored"), F.col("repo"))
+    index = postings.groupBy("line", "name").agg(F.count("*").alias("n"), F.min(from_repo).alias("lo"), F.max(from_repo).alias("hi"))
+    index = index.groupBy("line").agg(F.sum("n").alias("n"), (F.count("*") > RARE_NAMES).alias("common"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    index = index.filter((F.col("n") > 1) & (F.col("common") | F.col("lo").isNotNull())).drop("n")
+    elsewhere = (F.col("lo") != F.col("repo")) | (F.col("hi") != F.col("repo"))
+    shared = cut(postings.filter("open").select("line", "file_id", "repo", "size").join(index, "line").filter(F.col("common") | elsewhere), "shared")
+    held = shared.groupBy("file_id").agg(F.count_if(~F.col("common")).alias("n_held"), F.count_if("common").alias("n_common"))
+    sizes = postings.groupBy("file_id").agg(F.count("*").alias("n_lines")).join(held, "file_id", "left")
+    enough = lambda h: (h >= COPY_LINES) & (h >= COPY_SHARE * (F.col("n_lines") - F.col("n_common")))
+    likely = sizes.filter(enough(F.col("n_held"))).join(known.select("file_id", "size_bytes"), "file_id").select("file_id", "n_lines", "n_common", "size_bytes")
+    asked = shared.filter(~F.col("common")).select("line", "file_id", "repo", "size").join(likely, "file_id")
+    sources = postings.filter("vendored").groupBy("line", "source").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    single = asked.join(sources, "line").filter(elsewhere).groupBy("file_id", "source", "n_lines", "n_common", "size_bytes").agg(F.count("*").alias("n_one"), F.sum("size").alias("size"))
+    covered = F.col("size") >= COPY_BYTES_SHARE * F.coalesce("size_bytes", F.lit(0))
+    single = single.filter(enough(F.col("n_one")) & covered).groupBy("file_id").agg(F.max("n_one").alias("n_one"))
+    out = known.join(sizes, "file_id", "left").join(single, "file_id", "left").join(composition(chunks), "file_id", "left")
+    edited = F.col("n_one").isNotNull()
     return out.select(
-        F.col("id").alias("file_id"),
-        F.coalesce("kind", F.when(edited, "vendored")).alias("kind"),
-        F.when(F.col("rule").isNotNull(), "rule").when(F.col("kind").isNotNull(), "copy").when(edited, "lines").alias("by"),
-        n.cast("long").alias("n_lines"),
-        h.cast("long").alias("n_held"),
+        "file_id",
+        F.coalesce("kind", F.when(edited, "vendored"), "composed").alias("kind"),
+        F.when(F.col("rule").isNotNull(), "rule").when(F.col("kind").isNotNull(), "copy").when(edited, "lines").when(F.col("composed").isNotNull(), "tokens").alias("by"),
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("n_one", "n_held", F.lit(0)).cast("long").alias("n_held"),
     )
 
 

@@ -281,8 +281,8 @@ def test_token_rules(spark, path, size, want):
 def test_copies_and_edited_copies(spark):
     shape = "id string, repo_id string, path string, language string, content_hash string, size_bytes long, note string"
     files = [
-        ("v", "r1", "vendor/lib/lib.js", "javascript", "h1", 9000, ""), ("copy", "r2", "src/other.js", None, "h1", 9000, ""), ("tiny", "r2", "src/tiny.js", None, "h1", 10, ""),
-        ("edit", "r2", "src/edited.js", "javascript", "h2", 9100, ""), ("same", "r1", "src/mine.js", "javascript", "h3", 9100, ""), ("own", "r3", "src/own.js", "javascript", "h4", 500, ""),
+        ("v", "r1", "vendor/lib/lib.js", "javascript", "h1", 9000, ""), ("copy", "r2", "src/other.js", None, "h1", 9000, ""), ("tiny", "r2", "src/tiny.js", None, "h5", 10, ""), ("tinier", "r1", "vendor/lib/tiny.js", None, "h5", 10, ""), ("tiniest", "r4", "src/tiny.js", None, "h5", 10, ""),
+        ("edit", "r2", "src/edited.js", "javascript", "h2", 900, ""), ("same", "r1", "src/mine.js", "javascript", "h3", 9100, ""), ("own", "r3", "src/own.js", "javascript", "h4", 500, ""),
         ("null", None, None, None, None, None, ""), (None, "r3", "x.js", None, "h9", 1, ""), ("own", "r3", "src/own.js", "javascript", "h4", 500, ""),
     ]
     lines = [f"const vendored_line_number_{i} = compute({i});" for i in range(20)]
@@ -291,7 +291,7 @@ def test_copies_and_edited_copies(spark):
     got = provenance.classified(spark.createDataFrame(files, shape), spark.createDataFrame(chunks, "id string, file_id string, content string"))
     kinds = {r["file_id"]: (r["kind"], r["by"]) for r in got.collect()}
     # a repository's own lines are no evidence against it, and tiny files say nothing
-    assert kinds == {"v": ("vendored", "rule"), "copy": ("vendored", "copy"), "tiny": (None, None), "edit": ("vendored", "lines"), "same": (None, None), "own": (None, None), "null": (None, None)}
+    assert kinds == {"v": ("vendored", "rule"), "copy": ("vendored", "copy"), "tiny": (None, None), "tinier": ("vendored", "rule"), "tiniest": (None, None), "edit": ("vendored", "lines"), "same": (None, None), "own": (None, None), "null": (None, None)}
     assert provenance.not_hand_written(spark.createDataFrame([], shape), spark.createDataFrame([], "id string, file_id string, content string")).count() == 0
 
 
@@ -303,7 +303,7 @@ def test_edited_copies_of_popular_libraries(spark):
     for i in range(600):  # edited and vendored by many, and boilerplate in files of many names
         files += [(f"v{i}", f"r{i}", f"vendor/lib/lib-1.{i}.0.js", "javascript", f"h{i}", 9000), (f"o{i}", f"r{i}", f"src/own_{chr(97 + i % 26)}{i}.js", "javascript", f"w{i}", 900)]
         chunks += [(f"v{i}", "\n".join([*head, *lib, f"let vendored_edit_of_number_{i} = 1;"])), (f"o{i}", "\n".join([*head, *(f"let own_line_of_file_{i}_{j} = {j};" for j in range(6))]))]
-    files += [("edit", "x", "src/edited.js", "javascript", "e", 9000), ("heads", "x", "src/heads.js", "javascript", "f", 900)]
+    files += [("edit", "x", "src/edited.js", "javascript", "e", 1400), ("heads", "x", "src/heads.js", "javascript", "f", 900)]
     chunks += [("edit", "\n".join([*head, *lib, "let something_else_of_mine = 1;"])), ("heads", "\n".join(head))]
     got = provenance.classified(spark.createDataFrame(files, shape), spark.createDataFrame([(f"c{f}", f, t) for f, t in chunks], "id string, file_id string, content string"))
     kinds = {r["file_id"]: (r["kind"], r["by"], r["n_lines"], r["n_held"]) for r in got.collect()}
@@ -312,6 +312,28 @@ def test_edited_copies_of_popular_libraries(spark):
     assert all(kinds[f"o{i}"][0] is None and kinds[f"v{i}"][1] == "rule" for i in range(600))
 
 
+def test_files_are_judged_by_one_source_and_by_their_tokens(spark):
+    shape = "id string, repo_id string, path string, language string, content_hash string, size_bytes long"
+    lib = {a: [f"const library_{a}_line_number_{i} = compute({i});" for i in range(12)] for a in "ab"}
+    head = "/*\n * Code generated by a tool. DO NOT EDIT.\n */\n"
+    texts = {
+        "va": ("vendor/a-1.2.0/a.js", "\n".join(lib["a"][:8])), "vb": ("vendor/b/b.js", "\n".join(lib["b"])), "va2": ("vendor/a-1.3.0/a.js", "\n".join(lib["a"][4:])),
+        "versions": ("src/x.js", "\n".join(lib["a"])), "mixed": ("src/mixed.js", "\n".join(lib["a"][:6] + lib["b"][:6])),
+        "packed": ("src/packed.js", "function(a,b){return a+b};" * 200), "wide": ("src/wide.py", "\n".join(["x = call(first, second)  # one of many lines"] * 90)),
+        "made": ("src/made.go", head + "func f() {}\n" * 3), "maker": ("src/maker.go", 'func write() { emit("// Code generated by x. DO NOT EDIT.") }'),
+        "table": ("src/table.c", "static int t[] = {" + ", ".join(map(str, range(2000))) + "};"), "long": ("src/long.md", "A sentence of prose that is never wrapped. " * 60),
+    }
+    files = [(i, f"r-{i}", path, None, f"h-{i}", len(text)) for i, (path, text) in texts.items()] + [("snippet", "r", "src/snippet.js", None, "h", 90_000)]
+    texts["snippet"] = texts["versions"]
+    # tiny contents: one that stands in vendored places mostly, and a standard file
+    files += [(f"t{i}", f"q{i}", "vendor/z/z.js" if i < 3 else "src/own.js", None, "tiny", 90) for i in range(4)] + [(f"e{i}", f"q{i}", "vendor/z/__init__.py" if i < 1 else "src/__init__.py", None, "empty", 0) for i in range(4)]
+    chunks = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "file_id string, content string")
+    got = {r["file_id"]: (r["kind"], r["by"]) for r in provenance.classified(spark.createDataFrame(files, shape), chunks).collect()}
+    want = dict.fromkeys(("va", "vb", "va2", "t0", "t1", "t2", "e0"), ("vendored", "rule")) | {"versions": ("vendored", "lines"), "t3": ("vendored", "copy")}
+    want |= {"packed": ("minified", "tokens"), "made": ("generated", "tokens"), "table": ("data", "tokens")} | dict.fromkeys(("snippet", "mixed", "wide", "maker", "long", "e1", "e2", "e3"), (None, None))
+    assert got == want
+
+
 # Shared spans -------------------------------------------------------------------------------------------
 
 
