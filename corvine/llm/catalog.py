@@ -55,6 +55,19 @@ def p6_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(table(spark, root, "documents"))
 
 
+def p6_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, times, first_token, gaps): each text comes out once, from its first token on and without gaps."""
+    rows = packing.packed(table(spark, root, "documents"))
+    ends = F.array_sort(F.collect_list(F.struct("piece", "first_token", "n_tokens")))
+    by = rows.groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("times"), F.min("first_token").alias("first_token"), ends.alias("x"))
+    gaps = F.size(F.filter("x", lambda x, i: (i > 0) & (x["first_token"] != F.element_at("x", F.greatest(i, F.lit(1)))["first_token"] + F.element_at("x", F.greatest(i, F.lit(1)))["n_tokens"])))
+    return by.select("doc_id", "times", "first_token", gaps.cast("long").alias("gaps"))
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill(table(spark, root, "documents"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -71,11 +84,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_conversations, p3_found, p3_kinds, p4_found, p4_coverage,
-        p5_found, p5_labels, p6_packed, p7_found, p7_passages, p8_found,
+        p5_found, p5_labels, p6_packed, p6_texts, p6_fill, p7_found, p7_passages, p8_found,
     )
 }
 
-#: The rule of p2 and the word runs of p7 are plain SQL; the other operators are tested by brute force.
+#: The rule of p2, the wholeness of p6 and the word runs of p7 are plain SQL; the other operators are tested by brute force.
 SQL = {
     "p2_found": r"""
 WITH m AS (
@@ -98,6 +111,10 @@ SELECT conversation_id FROM ids
 WHERE conversation_id NOT IN (SELECT conversation_id FROM good)
    OR conversation_id IN (SELECT conversation_id FROM bad)
    OR conversation_id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL)
+""",
+    "p6_texts": """
+SELECT doc_id, CAST(1 AS BIGINT) AS times, CAST(0 AS BIGINT) AS first_token, CAST(0 AS BIGINT) AS gaps
+FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id
 """,
     "p7_found": r"""
 WITH w AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS words

@@ -4,7 +4,7 @@ Sizes are tokens of a public tokenizer. A text longer than a container gives who
 remainder; everything else is never split. Items are spread over shards by hash; in a shard each item
 goes to the open container, or a new one, that makes the sum of the squared numbers of open
 containers per gap smallest. Containers that stay open with a wide gap are packed once more, across
-shards, as items of their own.
+shards, as items of their own; their number gives the number of tasks.
 """
 
 from __future__ import annotations
@@ -120,9 +120,23 @@ def packed(documents: DataFrame, *, capacity: int = CAPACITY, vocabulary: str =
         pdf["joined"] = [f"again-{group}-{n}" for n in sum_of_squares(pdf["n_tokens"].tolist(), capacity)]
         return pdf[["container", "joined"]]
 
-    # a shard leaves about as many loose containers as the packing keeps open, some dozens
-    groups = max(1, shards * 64 // shard_items)
+    # mostly a shard leaves some dozens, but where few small texts fill gaps it may leave them all
+    groups = max(1, -(-loose.count() // shard_items))
     again = loose.withColumn("shard", F.pmod(F.xxhash64("container"), F.lit(groups)).cast("int")).groupBy("shard").applyInPandas(repack, "container string, joined string")
     final = first.join(again, "container", "left").withColumn("container", F.coalesce("joined", "container")).drop("joined")
     alone = full.select(F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece", "first_token", "n_tokens")
     return final.unionByName(alone)
+
+
+def fill(documents: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
+    """(containers, texts, tokens, least, fullest): how well ``packed`` fills; one row.
+
+    ``least`` is the number of containers that so many tokens need at least, ``fullest`` the most tokens
+    in one container. An empty table gives zeros.
+    """
+    by = packed(documents, capacity=capacity, **options).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count_if(F.col("piece") == 0).alias("texts"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return by.agg(
+        F.count("*").alias("containers"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), n.alias("tokens"),
+        F.ceil(n / capacity).cast("long").alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("fullest"),
+    )
