@@ -4,8 +4,9 @@
    ``min_chars``) the one with the least hash is kept, so two texts that share a run of ``min_chars``
    characters keep a common k-gram inside it. Kept k-grams seen in two records are the phrases.
 2. Phrases are confirmed by their text, not their hash, and compiled into Aho-Corasick automata, one
-   for each shard of the hash space. A record is streamed through the automata of the shards in which
-   it keeps a phrase (all others cannot match it inside a run), which locate every occurrence.
+   for each shard. The phrases of a passage lie in one shard mostly: that of the least record which keeps
+   them. A record is streamed through the automata of the shards in which it keeps a phrase (all others
+   cannot match it inside a run), which locate every occurrence.
 3. Occurrences carry the text around them up to the reach of a run. Equal surroundings form one class.
    Classes of a phrase are compared with each other; a phrase with very many classes is instead split
    by the exact windows of ``min_chars`` around it, so no phrase is compared in all pairs.
@@ -29,7 +30,8 @@ from corvine.scratch import cut
 PHRASES_PER_SHARD = 20_000
 #: Characters streamed through an automaton in one task, about; larger shards are salted.
 CHARS_PER_TASK = 16_000_000
-#: Up to so many classes of a phrase are compared pairwise; beyond, exact windows are used.
+#: Up to so many classes of a phrase are compared pairwise; beyond, exact windows are used. Both find the
+#: same; a window costs a row for each of its places, a pair one for each other class.
 PAIRWISE_CLASSES = 32
 
 _MULT, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -151,15 +153,15 @@ class SharedSpans:
     once. White space and letter case count. An empty table gives empty results.
     """
 
-    def __init__(self, df: DataFrame, *, id_col: str = "id", text_col: str = "content", min_chars: int = 150) -> None:
-        self.min_chars, self.k = min_chars, max(1, min_chars // 3)
+    def __init__(self, df: DataFrame, *, id_col: str = "id", text_col: str = "content", min_chars: int = 150, pairwise_classes: int = PAIRWISE_CLASSES) -> None:
+        self.min_chars, self.k, self.pairwise = min_chars, max(1, min_chars // 3), pairwise_classes
         self.reach = min_chars - self.k
         k, w = self.k, min_chars - self.k + 1
         self.source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
         kept = cut(self.source.mapInArrow(_keep(k, w), "id string, gram long, at int"), "grams")
         who = F.xxhash64("id")
-        again = kept.groupBy("gram").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).filter("lo <> hi").select("gram")
-        hits = kept.join(again, "gram", "left_semi").groupBy("id").agg(F.collect_set(F.struct("gram", "at")).alias("hits"))
+        again = kept.groupBy("gram").agg(F.min(who).alias("home"), F.max(who).alias("hi")).filter("home <> hi").select("gram", "home")
+        hits = kept.join(again, "gram").groupBy("id").agg(F.collect_set(F.struct("gram", "at", "home")).alias("hits"))
         long = self.source.filter(F.length("content") >= min_chars)
         self.docs = cut(long.join(hits, "id").dropDuplicates(["id"]), "records")
         self.occurrences = cut(self._occurrences(), "occurrences")
@@ -169,28 +171,25 @@ class SharedSpans:
         k, docs = self.k, self.docs
         grams = docs.select("id", "content", F.explode("hits").alias("hit"))
         phrases = (
-            grams.select("id", F.col("hit.gram").alias("gram"), F.substring("content", F.col("hit.at") + 1, F.lit(k)).alias("phrase"))
-            .groupBy("gram", "phrase")
+            grams.select("id", F.col("hit.gram").alias("gram"), F.col("hit.home").alias("home"), F.substring("content", F.col("hit.at") + 1, F.lit(k)).alias("phrase"))
+            .groupBy("gram", "home", "phrase")
             .agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
             .filter("lo <> hi")
         )
         total = docs.agg(F.sum(F.size("hits"))).first()[0] or 0
         shards = max(1, -(-total // PHRASES_PER_SHARD))
-        shard = lambda g: F.pmod(g, F.lit(shards)).cast("int")
-        sent = docs.select("id", "content", F.explode(F.array_distinct(F.transform("hits", lambda x: shard(x["gram"])))).alias("shard"))
-        sizes = sent.groupBy("shard").agg(F.sum(F.length("content")).alias("n")).collect()  # a row for each shard
-        split = {r["shard"]: -(-r["n"] // CHARS_PER_TASK) for r in sizes if r["n"] > CHARS_PER_TASK}
-        many = F.lit(1)
-        if split:
-            many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col("shard")), F.lit(1))
-        sent = sent.withColumn("salt", F.pmod(F.xxhash64("id"), many).cast("int"))
-        words = phrases.select("gram", "phrase", shard(F.col("gram")).alias("shard"))
-        words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+        shard = lambda home: F.pmod(home, F.lit(shards)).cast("int")
+        to = F.explode(F.array_distinct(F.transform("hits", lambda x: shard(x["home"])))).alias("shard")
+        # a row for each shard; joined as any table is, so nothing that grows with the data passes through the driver
+        sizes = docs.select(F.length("content").alias("n"), to).groupBy("shard").agg(F.ceil(F.sum("n") / CHARS_PER_TASK).cast("int").alias("many"))
+        sent = docs.select("id", "content", to).join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+        words = phrases.select("gram", "phrase", shard(F.col("home")).alias("shard")).join(sizes, "shard")
+        words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
         return (
-            sent.groupBy("shard", "salt")
-            .cogroup(words.groupBy("shard", "salt"))
+            sent.select("id", "content", "shard", "salt").groupBy("shard", "salt")
+            .cogroup(words.select("gram", "phrase", "shard", "salt").groupBy("shard", "salt"))
             .applyInPandas(_locate(k, self.reach), "id string, gram long, before string, after string, spans array<array<int>>")
-        )
+        )
 
     def _link(self) -> None:
         """members(class, id, spans), links(a, b, before, after) of classes, windows(win, class, before, after)."""
@@ -200,8 +199,8 @@ class SharedSpans:
         classes = occ.groupBy("class", "gram").agg(
             F.first("before").alias("before"), F.first("after").alias("after"), F.min("id").alias("lo"), F.max("id").alias("hi")
         )
-        counted = classes.join(classes.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-        few = counted.filter(F.col("n") <= PAIRWISE_CLASSES)
+        counted = classes = cut(self._counted(classes), "classes")
+        few = counted.filter(F.col("n") <= self.pairwise)
         a, b = few.alias("a"), few.alias("b")
         pair = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") < F.col("b.class")))
         pair = pair.filter((F.col("a.lo") != F.col("b.hi")) | (F.col("a.hi") != F.col("b.lo")))
@@ -215,13 +214,18 @@ class SharedSpans:
         self.links = across.unionByName(within)
         whole = F.concat("before", F.substring(F.lit(" " * self.k), 1, self.k), "after")
         starts = F.sequence(F.lit(0), F.length("before") + F.length("after") - need)
-        cutting = counted.filter((F.col("n") > PAIRWISE_CLASSES) & (F.length("before") + F.length("after") >= need))
+        cutting = counted.filter((F.col("n") > self.pairwise) & (F.length("before") + F.length("after") >= need))
         windows = cutting.select("class", "gram", "lo", "hi", "before", whole.alias("whole"), F.explode(starts).alias("from"))
         self.windows = windows.select(
             F.md5(F.concat_ws(":", "gram", F.length("before") - F.col("from"), F.substring("whole", F.col("from") + 1, F.lit(self.min_chars)))).alias("win"),
             "class", "lo", "hi", (F.length("before") - F.col("from")).alias("before"),
         ).withColumn("after", F.lit(need) - F.col("before"))
 
+    @staticmethod
+    def _counted(classes: DataFrame) -> DataFrame:
+        """With n, the number of classes of the phrase."""
+        return classes.join(classes.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+
     def pairs(self) -> DataFrame:
         """(chunk_a, chunk_b), chunk_a < chunk_b: records that share a run; distinct."""
         # classes with the same members say the same, and most do where whole texts are copies: one stands for all

@@ -380,12 +380,11 @@ def span_rows(seed):
 
 @pytest.mark.parametrize("seed, few", [(1, 32), (2, 0), (3, 1)])
 def test_shared_spans_against_brute_force(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(spans, "PAIRWISE_CLASSES", few)
     monkeypatch.setattr(spans, "CHARS_PER_TASK", 900)
     monkeypatch.setattr(spans, "PHRASES_PER_SHARD", 40)
     rows = span_rows(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, content string, gram int")
-    found = spans.SharedSpans(df, min_chars=30)
+    found = spans.SharedSpans(df, min_chars=30, pairwise_classes=few)
     assert {tuple(r) for r in found.pairs().collect()} == brute_pairs(rows, 30)
     got = {r["id"]: r["shared_chars"] for r in found.coverage().collect()}
     assert got == brute_coverage(rows, 30)
@@ -544,6 +543,19 @@ def test_packing_is_whole(spark):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no tokenizer")
+def test_loose_containers_are_packed_again_in_bounded_groups(spark):
+    # every text leaves a gap that no other fills, so all containers stay loose
+    df = spark.createDataFrame([(i, "word " * (36 + i % 9)) for i in range(600)], "doc_id long, text string")
+    got = packing.packed(df, capacity=64, shard_items=50).toPandas()
+    again = got[got.container.str.startswith("again-")]
+    groups = again.groupby(again.container.str.split("-").str[1]).size()
+    assert len(again) == 600 and len(groups) >= 12 and groups.max() < 150
+    row = packing.fill(df, capacity=64, shard_items=50).collect()[0]
+    assert (row["containers"], row["texts"], row["tokens"]) == (600, 600, int(got.n_tokens.sum())) and row["fullest"] <= 64
+    assert tuple(packing.fill(df.limit(0)).collect()[0]) == (0, 0, 0, 0, 0)
+
+
 # Leaks --------------------------------------------------------------------------------------------------
 
 
@@ -675,7 +687,7 @@ def test_stuffed_pages(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["p2_found", "p7_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p6_texts", "p7_found"])
 def test_sql(spark, name):
     import duckdb
 
