@@ -1,13 +1,14 @@
 """Most similar vectors for every vector, by vantage-point trees in shards.
 
 A routing tree of vantage points, fitted on a bounded sample, cuts the unit sphere into shards. Every
-vector is stored in the one shard it falls into and is sent as a query to each shard that its search
-ball may reach. Inside a shard a vantage-point tree is walked by all queries at once. Both levels
-prune by the triangle inequality: with ``d`` the distance of query and vantage point, ``mu`` the
-median radius of the node and ``tau`` the search radius, a side is skipped if it lies further than
-``relax * tau`` from the query's shell. ``relax=1`` is exact for the search radius; smaller factors
-trade recall for work, because in many dimensions two close vectors differ far less in their distance
-to a third than the inequality allows.
+vector is stored in the one shard it falls into and searched for there first; the k-th best found, or
+the least similarity asked for, gives its search radius, and it is sent to each further shard that its
+ball may reach. Inside a shard a
+vantage-point tree is walked by all queries at once. Both levels prune by the triangle inequality: with
+``d`` the distance of query and vantage point, ``mu`` the median radius of the node and ``tau`` the
+search radius, a side is skipped if it lies further than ``relax * tau`` from the query's shell.
+``relax=1`` is exact; smaller factors trade recall for work, because in many dimensions two close
+vectors differ far less in their distance to a third than the inequality allows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from corvine.scratch import cut
 
 #: Documented bound of the sample on which the routing tree is fitted (every row is indexed).
-SAMPLE_ROWS = 16_384
-#: Vectors stored in a shard, about; larger shards are salted.
+SAMPLE_ROWS = 65_536
+#: Vectors stored in a shard, about; a task holds at most about twice as many of them and of queries.
 SHARD_ROWS = 32_768
 #: Points in a leaf of a shard's tree.
 LEAF_ROWS = 96
@@ -35,12 +36,15 @@ SPARE = 3
 RELAX = 0.15
 #: Without a least similarity: points in a leaf, and what single precision may take from a distance.
 OPEN_LEAF_ROWS, SLACK = 512, 2e-3
+#: Steps of the grid on which normed vectors are told apart: copies of different length fall together, and
+#: similarities change by less than 1e-10.
+GRID = 2.0**20
 
 _OUT = "id string, neighbour_id string, similarity double, rank int"
 
 
 def _unit_batches(dim: int, keep: int):
-    """Arrow batches (id, vector) -> (key, vec, ids): usable vectors only, copies within a batch merged.
+    """Arrow batches (id, vector) -> (key, vec, ids): usable vectors only, copies of any length within a batch merged.
 
     Keys of which one batch holds ``keep`` copies are merged over the whole partition, so a vector that
     fills a third of the table leaves each partition as one row. There are few of them: each takes
@@ -66,12 +70,13 @@ def _unit_batches(dim: int, keep: int):
             if not len(pick):
                 continue
             ids = batch.column(0).take(pa.array(pick)).to_pylist()
-            merged: dict[bytes, list] = {}
-            for i, row in enumerate(x):
-                key = hashlib.md5(row.tobytes()).digest()
-                merged.setdefault(key, [i]).append(ids[i])
             wide = x.astype(np.float64)
-            unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+            wide /= np.abs(wide).max(axis=1, keepdims=True)
+            wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+            unit = wide.astype(np.float32)
+            merged: dict[bytes, list] = {}
+            for i, row in enumerate(np.rint(wide * GRID).astype(np.int32)):
+                merged.setdefault(hashlib.md5(row.tobytes()).digest(), [i]).append(ids[i])
             keys, vecs, lists_ = [], [], []
             for key, (first, *found) in merged.items():
                 found = sorted(set(found))[:keep]
@@ -174,59 +179,34 @@ class _Best:
         self.at[rows] = np.take_along_axis(where, order, axis=1)
 
 
-def search_shard(stored: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, least: float, margin: float) -> _Best:
-    """Walk a vantage-point tree over ``stored`` with all queries; ``own[i]`` is query i's place in stored or -1."""
-    best = _Best(len(queries), k)
-    floor = np.float32(least - 1e-5)
-    stack = [(np.arange(len(stored)), np.arange(len(queries)))]
-    while stack:
-        points, rows = stack.pop()
-        if not len(points) or not len(rows):
-            continue
-        near = None
-        if len(points) > LEAF_ROWS:
-            vantage = _spread_point(stored[points])
-            d = _distances(stored[points] @ vantage)
-            mu = np.median(d)
-            near = d <= mu
-        if near is None or near.all():
-            for lo in range(0, len(points), 512):
-                part = points[lo : lo + 512]
-                for at in range(0, len(rows), 4096):
-                    block = rows[at : at + 4096]
-                    sims = queries[block] @ stored[part].T
-                    sims[own[block][:, None] == part[None, :]] = -2.0
-                    hit = np.flatnonzero((sims >= floor).any(axis=1))
-                    if len(hit):
-                        best.offer(block[hit], part, np.where(sims[hit] >= floor, sims[hit], np.float32(-2.0)))
-            continue
-        off = _distances(queries[rows] @ vantage) - mu
-        stack.append((points[near], rows[off <= margin]))
-        stack.append((points[~near], rows[off >= -margin]))
-    return best
-
+def search_shard(stored: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, relax: float, leaf: int = OPEN_LEAF_ROWS) -> _Best:
+    """Walk a vantage-point tree over ``stored`` with all queries; ``own[i]`` is query i's place in stored or -1.
 
-def search_open(stored: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, relax: float) -> _Best:
-    """As ``search_shard``, but each query's radius is that of its k-th best so far, or of its ``floor`` if that is nearer."""
+    Each query's radius is that of its k-th best so far, or of its ``floor`` if that is nearer. With a
+    floor and ``relax`` below 1 it stays that of the floor: the factor counts on what the directions of a
+    whole ball look like, and would lose neighbours of dense places if the ball shrank.
+    """
     floor = floor.astype(np.float32)
+    shrink = relax >= 1 or bool((floor <= -2.0).any())
     if (floor <= -2.0).any():
         # the leaf a query falls into gives a first radius
-        seed = _walk_open(stored, queries, own, k, floor, 0.0, 0.0)
+        seed = _walk(stored, queries, own, k, floor, 0.0, 0.0, leaf, True)
         floor = np.maximum(floor, seed.sim[:, -1] - np.float32(1e-5))
-    return _walk_open(stored, queries, own, k, floor, relax, SLACK)
+    return _walk(stored, queries, own, k, floor, relax, SLACK, leaf, shrink)
 
 
-def _walk_open(stored, queries, own, k, floor, relax, slack) -> _Best:
+def _walk(stored, queries, own, k, floor, relax, slack, leaf, shrink) -> _Best:
     best = _Best(len(queries), k)
     column = np.full(len(stored) + 1, -1)  # the last one stands for queries that are not stored
     stack = [(np.arange(len(stored)), np.arange(len(queries)), np.zeros(len(queries)))]
     while stack:
         points, rows, gap = stack.pop()
-        rows = rows[gap <= relax * _distances(np.maximum(best.sim[rows, -1], floor[rows])) + slack]
+        radius = _distances(np.maximum(best.sim[rows, -1], floor[rows]) if shrink else floor[rows])
+        rows = rows[gap <= relax * radius + slack]
         if not len(points) or not len(rows):
             continue
         near = None
-        if len(points) > OPEN_LEAF_ROWS:
+        if len(points) > leaf:
             vantage = _spread_point(stored[points])
             d = _distances(stored[points] @ vantage)
             mu = np.median(d)
@@ -240,7 +220,7 @@ def _walk_open(stored, queries, own, k, floor, relax, slack) -> _Best:
                     sims = queries[block] @ stored[part].T
                     self_at = column[own[block]]
                     sims[np.flatnonzero(self_at >= 0), self_at[self_at >= 0]] = -2.0
-                    _offer_open(best, block, part, sims, np.maximum(best.sim[block, -1], floor[block]))
+                    _offer(best, block, part, sims, np.maximum(best.sim[block, -1], floor[block]))
                 column[part] = -1
             continue
         off = _distances(queries[rows] @ vantage) - mu
@@ -249,7 +229,7 @@ def _walk_open(stored, queries, own, k, floor, relax, slack) -> _Best:
     return best
 
 
-def _offer_open(best: _Best, block: np.ndarray, part: np.ndarray, sims: np.ndarray, least: np.ndarray) -> None:
+def _offer(best: _Best, block: np.ndarray, part: np.ndarray, sims: np.ndarray, least: np.ndarray) -> None:
     """Offer the similarities that reach ``least`` of their row; few do, so they are moved to the left first."""
     q, j = np.nonzero(sims >= least[:, None])
     if not len(q):
@@ -296,9 +276,11 @@ def nearest_vectors(
     vector) counts once; different ids with one vector are neighbours of similarity 1. An empty
     table gives an empty result. Other columns are ignored, whatever their names.
 
-    Work: one shuffle of the distinct vectors, one of their routed copies; the routing tree (at most
-    ``sample_rows`` / 16 vantage points) is the only thing that passes through the driver. Shards that
-    hold more than ``shard_rows`` vectors are salted, so that no task grows with a crowded region.
+    Work: shuffles of the distinct vectors, of their home shards, and of their routed copies; the routing
+    tree (at most ``sample_rows`` / 16 vantage points) is the only thing that passes through the driver.
+    Shards that hold more than ``shard_rows`` vectors are salted and the queries of a shard are cut into
+    blocks, so that no task grows with a crowded region. The copies of a query grow with the number of
+    shards its ball reaches; README gives measured figures.
     """
     keep = k + 2
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
@@ -320,12 +302,7 @@ def nearest_vectors(
     sample = groups.filter(F.col("key") <= F.lit(edge)).select("vec").limit(sample_rows).toPandas()
     leaves = max(1, min(-(-total // shard_rows), max(1, len(sample) // 16)))
     tree = RoutingTree(_matrix(sample["vec"], dim) if len(sample) else np.zeros((0, dim), np.float32), leaves)
-    if min_similarity is None:
-        both = _search_open(spark, groups, tree, dim, k, relax, shard_rows)
-    else:
-        margin = relax * float(np.sqrt(2.0 - 2.0 * min_similarity))
-        links = _search(spark, groups, tree, dim, k, min_similarity, margin, shard_rows)
-        both = links.unionByName(links.select(F.col("near").alias("ids"), F.col("ids").alias("near"), "sim")).distinct()
+    both = _search(spark, groups, tree, dim, k, min_similarity, relax, shard_rows)
     pairs = both.filter(F.size("ids") < keep).select(F.explode("ids").alias("id"), "near", "sim")
     pairs = pairs.select("id", F.explode("near").alias("neighbour_id"), "sim")
     copies = groups.filter(F.size("ids") > 1).select("ids", "key")
@@ -347,66 +324,15 @@ def nearest_vectors(
     )
 
 
-def _search(spark, groups, tree, dim, k, least, margin, shard_rows) -> DataFrame:
-    """(ids, near, sim): links found by routing the groups and searching every shard."""
-    shared = spark.sparkContext.broadcast(tree)  # at most sample_rows / 16 points
-
-    def owners(batches):
-        for batch in batches:
-            x = _matrix(batch.column(0).to_pylist(), dim)
-            _, shard, owned = shared.value.route(x, 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[owned], pa.int32())], ["shard"])
-
-    salts: dict[int, int] = {}
-    if tree.leaves > 1:
-        counts = groups.select("vec").mapInArrow(owners, "shard int").groupBy("shard").count()
-        salts = {r["shard"]: -(-r["count"] // (2 * shard_rows)) for r in counts.collect() if r["count"] > 2 * shard_rows}
-    else:
-        salts = {0: max(1, -(-groups.count() // (2 * shard_rows)))}
-
-    def routed(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1).to_pylist(), dim)
-            row, shard, owned = shared.value.route(x, margin)
-            keys = batch.column(0).to_pylist()
-            take, to, salt, mine = [], [], [], []
-            for r, s, o in zip(row.tolist(), shard.tolist(), owned.tolist()):
-                m = salts.get(s, 1)
-                home = int.from_bytes(keys[r][:4], "big") % m
-                for j in range(m):
-                    take.append(r), to.append(s), salt.append(j), mine.append(o and j == home)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int32()), pa.array(salt, pa.int32()), pa.array(mine, pa.bool_()), batch.column(1).take(at), batch.column(2).take(at)],
-                ["shard", "salt", "stored", "vec", "ids"],
-            )
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ids", key=lambda s: s.str[0], kind="stable", ignore_index=True)
-        x = _matrix(pdf["vec"], dim)
-        inside = pdf["stored"].to_numpy(bool)
-        place = np.where(inside, np.cumsum(inside) - 1, -1)
-        best = search_shard(x[inside], x, place, k + SPARE, least, margin)
-        q, j = np.nonzero(best.at >= 0)
-        ok = best.sim[q, j] > -2.0
-        q, j = q[ok], j[ok]
-        other = np.flatnonzero(inside)[best.at[q, j]]
-        sims = np.einsum("ij,ij->i", x[q].astype(np.float64), x[other].astype(np.float64))
-        good = sims >= least
-        ids = pdf["ids"].to_numpy()
-        return pd.DataFrame({"ids": ids[q[good]], "near": ids[other[good]], "sim": sims[good]})
-
-    sent = groups.select("key", "vec", "ids").mapInArrow(routed, "shard int, salt int, stored boolean, vec binary, ids array<string>")
-    return sent.groupBy("shard", "salt").applyInPandas(search, "ids array<string>, near array<string>, sim double")
-
-
-def _search_open(spark, groups, tree, dim, k, relax, shard_rows) -> DataFrame:
-    """(ids, near, sim): the best links of every group, without a least similarity.
+def _search(spark, groups, tree, dim, k, least, relax, shard_rows) -> DataFrame:
+    """(ids, near, sim): the best links of every group, of a similarity of ``least`` if that is given.
 
     First every group is searched for in the shard that stores it, which gives it a radius; then it is
     sent to the further shards that its ball reaches. Crowded shards are salted, and the queries of a
     shard are cut into blocks, so no task holds more than about 2 * shard_rows of either.
     """
+    start, leaf = (-2.0, OPEN_LEAF_ROWS) if least is None else (least, LEAF_ROWS)
+    shrink = least is None or relax >= 1  # see search_shard
     shared = spark.sparkContext.broadcast(tree)  # at most sample_rows / 16 points
     width = k + SPARE
 
@@ -431,19 +357,20 @@ def _search_open(spark, groups, tree, dim, k, relax, shard_rows) -> DataFrame:
             found = x[at].astype(np.float64) @ x[r].astype(np.float64)
             order = np.argsort(-found, kind="stable")
             near.append(keys[at[order]].tolist()), sims.append(found[order].tolist())
-        return {"near": near, "sims": sims}
+        return {"near": pd.Series(near, dtype=object), "sims": pd.Series(sims, dtype=object)}
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
         x = _matrix(pdf["vec"], dim)
         every = np.arange(len(x))
-        best = search_open(x, x, every, width, np.full(len(x), -2.0), relax)
+        best = search_shard(x, x, every, width, np.full(len(x), max(-2.0, start - 1e-5)), relax, leaf)
         out = ranked(x, every, best, every, pdf["key"].to_numpy())
-        radius = [s[k - 1] if len(s) >= k else -2.0 for s in out["sims"]]
+        radius = [max(start, s[k - 1]) if shrink and len(s) >= k else start for s in out["sims"]]
         return pd.DataFrame({"key": pdf["key"], "vec": pdf["vec"], "shard": pdf["shard"], "radius": radius, **out})
 
-    salt = F.udf(salt_of, "int")
-    home = placed.withColumn("salt", salt("key", "shard")).groupBy("shard", "salt")
+    many = spark.createDataFrame(list(salts.items()), "shard int, many int")  # a row for each leaf of the tree
+    salt = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") % F.col("many")
+    home = placed.join(F.broadcast(many), "shard").withColumn("salt", salt.cast("int")).drop("many").groupBy("shard", "salt")
     home = cut(home.applyInPandas(at_home, "key binary, vec binary, shard int, radius double, near array<binary>, sims array<double>"), "home")
 
     def further(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -488,7 +415,7 @@ def _search_open(spark, groups, tree, dim, k, relax, shard_rows) -> DataFrame:
         inside = pdf["stored"].to_numpy(bool)
         stored, rows = np.flatnonzero(inside), np.flatnonzero(~inside)
         floor = np.maximum(pdf["radius"].to_numpy()[rows] - 1e-5, -2.0)
-        best = search_open(x[stored], x[rows], np.full(len(rows), -1), width, floor, relax)
+        best = search_shard(x[stored], x[rows], np.full(len(rows), -1), width, floor, relax, leaf)
         found = (best.sim > -2.0).any(axis=1)
         best.sim, best.at, rows = best.sim[found], best.at[found], rows[found]
         keys = pdf["key"].to_numpy()
@@ -500,6 +427,11 @@ def _search_open(spark, groups, tree, dim, k, relax, shard_rows) -> DataFrame:
     lists = lists.select("key", F.zip_with("sims", "near", lambda s, n: F.struct(s.alias("sim"), n.alias("near"))).alias("list"))
     lists = lists.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("list")), asc=False), 1, width).alias("list"))
     links = lists.select("key", F.inline("list"))
+    if least is not None:
+        links = links.filter(F.col("sim") >= least)
+    if relax < 1:
+        # a link that was found from one side only holds from both
+        links = links.unionByName(links.select(F.col("near").alias("key"), F.col("key").alias("near"), "sim")).distinct()
     ids = groups.select("key", "ids")
     links = links.join(ids.select(F.col("key").alias("near"), F.col("ids").alias("near_ids")), "near").join(ids, "key")
     return links.select("ids", F.col("near_ids").alias("near"), "sim")

@@ -87,6 +87,42 @@ def test_crowded_region_is_salted(spark):
     assert {(r["id"], r["neighbour_id"]) for r in near.collect()} == brute_neighbours(rows, 4, 0.9)
 
 
+def test_copies_of_any_length_are_one_vector(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64).astype(np.float32)
+    rows = [(f"h{i:03d}", (base * np.float32(0.1 + 0.01 * i)).tolist()) for i in range(300)] + clustered(200, 64)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    unit = df.mapInArrow(vectors._unit_batches(64, 7), "key binary, vec binary, ids array<string>")
+    assert unit.select("key").distinct().count() < 200 + 10
+    got = {}
+    for r in vectors.nearest_vectors(df, relax=1.0, shard_rows=30).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"], round(r["similarity"], 6)))
+    for i in range(300):
+        near = sorted(got[f"h{i:03d}"])
+        assert len(near) == 5 and all(n.startswith("h") and s == 1.0 for _, n, s in near)
+
+
+@pytest.mark.parametrize("leaves", [64, 256])
+def test_relaxed_routing_finds_close_pairs_over_many_shards(leaves):
+    rng = np.random.default_rng(0)
+    norm = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    tree = vectors.RoutingTree(norm(rng.normal(size=(16_384, 64))), leaves)
+    q = norm(rng.normal(size=(2000, 64)))
+    side = rng.normal(size=q.shape)
+    side = norm(side - (side * q).sum(axis=1, keepdims=True) * q)
+    p = (0.91 * q + np.sqrt(1 - 0.91**2) * side).astype(np.float32)
+    margin = vectors.RELAX * np.sqrt(2 - 2 * 0.91)
+
+    def homes(x):
+        row, shard, owned = tree.route(x, 0.0)
+        return dict(zip(row[owned].tolist(), shard[owned].tolist()))
+
+    reach = [set(zip(*(a.tolist() for a in tree.route(x, margin)[:2]))) for x in (q, p)]
+    hq, hp = homes(q), homes(p)
+    found = sum((i, hp[i]) in reach[0] or (i, hq[i]) in reach[1] for i in range(len(q)))
+    assert tree.leaves == leaves and found >= 0.97 * len(q) and len(reach[0]) < leaves / 4 * len(q)
+
+
 def test_copies_and_unusable_vectors(spark):
     nan = float("nan")
     same = [1.0, 2.0, 3.0, 4.0]
