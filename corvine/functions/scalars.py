@@ -100,6 +100,21 @@ def diagrams(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(r"```mermaid\s*\r?\n([\s\S]*?)\r?\n```"), F.lit(1)), lambda x: F.trim(x) != "")
 
 
+def segments(text: Column) -> Column:
+    """Array of struct(type, text): texts and the diagrams between them in order; empty ones drop out."""
+    fence = r"```mermaid\s*\r?\n([\s\S]*?)\r?\n```"
+    between = F.split(text, fence, -1)
+    drawn = F.regexp_extract_all(text, F.lit(fence), F.lit(1))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    both = F.transform(between, lambda x, i: F.array(part("text", x), part("mermaid", wide_trim(F.coalesce(F.get(drawn, i), F.lit(""))))))
+    return F.filter(F.flatten(both), lambda x: x["text"] != "")
+
+
+def trimmed_server(url: Column) -> Column:
+    """An address without slashes at its end, so that a path can follow."""
+    return F.regexp_replace(url, "/+$", "")
+
+
 def html_escape(text: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(char), F.lit(name))

@@ -47,6 +47,18 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return incoming.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def insert_rows(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """Snapshot after a batch insert: new rows get the table's columns; keys that it holds, or null ones, are left out."""
+    new = insert_ignore(existing, incoming.filter(F.col(key).isNotNull()), [key])
+    return existing.unionByName(new.select(*[c for c in existing.columns if c in incoming.columns]), allowMissingColumns=True)
+
+
+def write_back(df: DataFrame, updates: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """Snapshot with ``column`` taken from ``updates`` (key, column) where they have a value; unknown keys add nothing."""
+    new = updates.select(key, F.col(column).alias("_new")).filter("_new is not null").dropDuplicates([key])
+    return df.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
+
+
 def delete_repo(tables: dict[str, DataFrame], repos: DataFrame) -> dict[str, DataFrame]:
     """Snapshots of all tables after deleting ``repos`` (repo_id), by chained anti joins along the foreign keys."""
     gone = repos.select("repo_id").distinct()
@@ -82,7 +94,7 @@ def update_jobs(jobs: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
     rows = rows.withColumns(
         {
             "status": F.coalesce("u_status", "status"),
-            "progress": F.coalesce(clamp_progress(F.col("u_progress")), F.col("progress")),
+            "progress": F.when(F.col("u_progress").isNotNull(), clamp_progress(F.col("u_progress"))).otherwise(F.col("progress")),
             "error": F.coalesce(F.substring("u_error", 1, 2000), F.col("error")),
             "finished_at": F.when(F.coalesce("u_finished", F.lit(False)), now).otherwise(F.col("finished_at")),
             "started_at": F.when(F.col("u_status") == "cloning", now).otherwise(F.col("started_at")),

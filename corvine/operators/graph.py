@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ def repo_graph(files: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(started, "repo_id", "left").select("repo_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-def dependencies(files: DataFrame, edges: DataFrame, limit: int = LIMITS.dependencies) -> DataFrame:
+def dependencies(files: DataFrame, edges: DataFrame, limit: int = LIMITS.dependencies, only: DataFrame | None = None) -> DataFrame:
     """(file_id, direction, path): up to ``limit`` imports and importers of every file, by path.
 
+    With ``only`` (file_id) just those of the given files, whose edges are picked before anything else.
     The window only keeps the first rows of each group (a group limit runs before the shuffle).
     """
+    if only is not None:
+        starts = edges.join(only.select(F.col("file_id").alias("source_file_id")), "source_file_id", "left_semi")
+        edges = starts.unionByName(edges.join(only.select(F.col("file_id").alias("target_file_id")), "target_file_id", "left_semi"))
     e = clean_edges(edges).select("source", "target").distinct()
     paths = files.select("id", "path").dropDuplicates(["id"])
     out = e.select(F.col("source").alias("file_id"), F.lit("imports").alias("direction"), F.col("target").alias("id"))
@@ -45,20 +51,24 @@ def reverse_reach(edges: DataFrame, roots: DataFrame, depth: int = LIMITS.impact
     """(root, id, depth): files that reach a root over reversed edges within ``depth`` (clamped to 1..5).
 
     Level-synchronous: each level is one join and one anti join against what was seen, for all roots at
-    once, and its lineage is cut. The reversed edges are written once and read by every level. A root keeps the first ``visited`` files by (depth, id); the root
-    itself is left out. ``roots`` has a column ``root``.
+    once, and its lineage is cut. The reversed edges are written once and read by every level. A root
+    keeps the first ``visited`` files by (depth, id); one that is full takes no further part, so a hot
+    library is not walked whole. The root itself is left out. ``roots`` has a column ``root``.
     """
     depth = max(1, min(depth, LIMITS.impact_max_depth))
     back = cut(clean_edges(edges).select(F.col("target").alias("at"), F.col("source").alias("id")).distinct(), "edges")
     seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
-    front = seen
+    front, left = seen, roots.select("root", F.lit(visited).cast("long").alias("left")).distinct()
+    order = Window.partitionBy("root").orderBy("id")
     for level in range(1, depth + 1):
-        step = front.select("root", F.col("id").alias("at")).join(back, "at").select("root", "id").distinct()
-        front = cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level)), "reach")
+        step = front.select("root", F.col("id").alias("at")).join(left.filter("left > 0").select("root"), "root", "left_semi").join(back, "at").select("root", "id").distinct()
+        step = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= visited)
+        step = step.join(left, "root").filter(F.col("n") <= F.col("left"))
+        front = cut(step.select("root", "id", F.lit(level).alias("depth")), "reach")
         seen = seen.unionByName(front)
-    order = Window.partitionBy("root").orderBy("depth", "id")
-    rows = seen.filter("depth > 0").withColumn("n", F.row_number().over(order))
-    return rows.filter(F.col("n") <= visited).select("root", "id", "depth")
+        got = front.groupBy("root").agg(F.count("*").alias("got"))
+        left = left.join(got, "root", "left").select("root", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"))  # a row for each root
+    return seen.filter("depth > 0").select("root", "id", "depth")
 
 
 def impact(files: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = LIMITS.impact_depth) -> DataFrame:
@@ -96,25 +106,64 @@ def directory_edges(files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "source_dir", "target_dir").agg(F.count("*").alias("edges"))
 
 
-def diagram_lines(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo_id, mode, section, line): the lines of each repository's flowchart.
+def diagram_lines(files: DataFrame, edges: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """(repo_id, mode, part, dir, kind, path, line): the lines of each repository's flowchart.
 
-    Up to 80 files give a chart of files in boxes of directories, more give one of directories. Lines
-    stay rows, so a huge repository never becomes one value; ordered by (section, line) they are the text.
+    Ordered by (part, dir, kind, path, line) they are its text: a header, the boxes (of directories with
+    their files, each closed; or just directories above 80 files), and the arrows. Lines stay rows, so a
+    huge repository never becomes one value. Repositories of ``repos`` without files get a placeholder.
     """
     nodes = files.select("id", "repo_id", F.regexp_replace("path", r"\\", "/").alias("path")).dropDuplicates(["id"])
     mode = nodes.groupBy("repo_id").agg(F.when(F.count("*") > LIMITS.diagram_files, "directories").otherwise("files").alias("mode"))
     rows = nodes.join(mode, "repo_id").withColumn("dir", S.directory(F.col("path")))
-    box = F.concat(S.diagram_id(F.concat(F.lit("dir_"), "dir")), F.lit('["'), S.diagram_label(F.col("dir")), F.lit('"]'))
-    dirs = rows.select("repo_id", "mode", F.lit("1 box").alias("section"), F.when(F.col("mode") == "files", F.concat(F.lit("  subgraph "), box)).otherwise(F.concat(F.lit("  "), box)).alias("line")).distinct()
-    leaf = F.concat(F.lit("    "), S.diagram_id(F.col("id")), F.lit('["'), S.diagram_label(S.basename(F.col("path"))), F.lit('"]'))
-    leaves = rows.filter("mode = 'files'").select("repo_id", "mode", F.lit("2 file").alias("section"), leaf.alias("line"))
+    no = F.lit("")
+
+    def lines(df: DataFrame, part: int, dir_: Column, kind: int, path: Column, line: Column) -> DataFrame:
+        return df.select("repo_id", "mode", F.lit(part).alias("part"), dir_.alias("dir"), F.lit(kind).alias("kind"), path.alias("path"), line.alias("line"))
+
+    named = lambda c: S.diagram_id(F.concat(F.lit("dir_"), c))
+    shown = lambda name, label: F.concat(name, F.lit('["'), S.diagram_label(label), F.lit('"]'))
+    dirs = rows.select("repo_id", "mode", "dir").distinct()
+    in_files, in_dirs = F.col("mode") == "files", F.col("mode") == "directories"
+    d = F.col("dir")
     e = clean_edges(edges).select("source", "target").distinct()
-    owner = rows.select(F.col("id").alias("source"), "repo_id", "mode")
-    arrows = e.join(owner.filter("mode = 'files'"), "source").select("repo_id", "mode", F.lit("3 edge").alias("section"), F.concat(F.lit("  "), S.diagram_id(F.col("source")), F.lit(" --> "), S.diagram_id(F.col("target"))).alias("line"))
-    between = directory_edges(files, edges).join(mode.filter("mode = 'directories'"), "repo_id")
-    wide = between.select("repo_id", "mode", F.lit("3 edge").alias("section"), F.concat(F.lit("  "), S.diagram_id(F.concat(F.lit("dir_"), "source_dir")), F.lit(" --> "), S.diagram_id(F.concat(F.lit("dir_"), "target_dir"))).alias("line"))
-    return dirs.unionByName(leaves).unionByName(arrows).unionByName(wide)
+    arrow = lambda a, b: F.concat(F.lit("  "), a, F.lit(" --> "), b)
+    arrows = e.join(rows.filter(in_files).select(F.col("id").alias("source"), "repo_id", "mode"), "source")
+    between = directory_edges(files, edges).join(mode.filter(in_dirs), "repo_id")
+    parts = [
+        lines(mode, 0, no, 0, no, F.lit("flowchart LR")),
+        lines(dirs.filter(in_files), 1, d, 0, no, F.concat(F.lit("  subgraph "), shown(named(d), d))),
+        lines(rows.filter(in_files), 1, d, 1, F.col("path"), F.concat(F.lit("    "), shown(S.diagram_id(F.col("id")), S.basename(F.col("path"))))),
+        lines(dirs.filter(in_files), 1, d, 2, no, F.lit("  end")),
+        lines(dirs.filter(in_dirs), 1, d, 0, no, F.concat(F.lit("  "), shown(named(d), d))),
+        lines(arrows, 2, no, 0, no, arrow(S.diagram_id(F.col("source")), S.diagram_id(F.col("target")))),
+        lines(between, 2, no, 0, no, arrow(named(F.col("source_dir")), named(F.col("target_dir")))),
+    ]
+    if repos is not None:
+        bare = repos.select(F.col("id").alias("repo_id")).distinct().join(mode, "repo_id", "left_anti").withColumn("mode", F.lit("empty"))
+        parts += [lines(bare, 0, no, 0, no, F.lit("flowchart LR")), lines(bare, 1, no, 0, no, F.lit("  empty[No files indexed yet]"))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def diagram_texts(lines: DataFrame) -> DataFrame:
+    """(repo_id, text) of the charts of files and of nothing, which have at most 80 files and the arrows among them."""
+    few = lines.filter(F.col("mode") != "directories")
+    sorted_ = F.array_sort(F.collect_list(F.struct("part", "dir", "kind", "path", "line")))
+    return few.groupBy("repo_id").agg(F.array_join(F.transform(sorted_, lambda x: x["line"]), "\n").alias("text"))
+
+
+def rebuild_edges(edges: DataFrame, files: DataFrame, repos: DataFrame, found: DataFrame) -> DataFrame:
+    """(source_file_id, target_file_id, edge_type): the edges after those of ``repos`` (repo_id) were replaced by ``found``.
+
+    An edge belongs to the repository of its source. New edges count once, self-edges and edges to or
+    from unknown files drop out.
+    """
+    keys = ["source_file_id", "target_file_id", "edge_type"]
+    known = files.select(F.col("id").alias("source_file_id"), "repo_id").distinct()
+    gone = known.join(repos.select("repo_id").distinct(), "repo_id", "left_semi").select("source_file_id")
+    new = found.select(*keys).filter("source_file_id <> target_file_id").distinct()
+    new = new.join(gone, "source_file_id", "left_semi").join(known.select(F.col("source_file_id").alias("target_file_id")), "target_file_id", "left_semi")
+    return edges.join(gone, "source_file_id", "left_anti").select(*keys).unionByName(new.select(*keys))
 
 
 def normal_path(path: Column) -> Column:

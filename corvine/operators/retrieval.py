@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvine.config import LIMITS
+from corvine.functions import scalars as S
 from corvine.functions.stemming import stem
 
 #: Weight of a term in a symbol name (A) and in a content (B).
@@ -44,6 +46,18 @@ def cosine_to(query: list[float]):
     return similarity
 
 
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    """(chunk_id, score, rank): the k best ids of (chunk_id, score); ties go to the smaller id.
+
+    Repeated rows share a dense rank, and Spark applies the limit on it inside each task (up to its
+    ``windowGroupLimitThreshold`` of 1000), so about k rows of each task are shuffled, not all of them.
+    """
+    order = Window.orderBy(F.desc("score"), "chunk_id")
+    few = rows.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= k)
+    best = few.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
 def vector_search(chunks: DataFrame, query: list[float], k: int = 10, digits: int = 6) -> DataFrame:
     """(chunk_id, score, rank): exact cosine top k; ties go to the smaller id.
 
@@ -53,8 +67,7 @@ def vector_search(chunks: DataFrame, query: list[float], k: int = 10, digits: in
         raise ValueError("k must be at least 1")
     rows = chunks.select(F.col("id").alias("chunk_id"), "embedding").filter(usable(F.col("embedding"), len(query)))
     rows = rows.select("chunk_id", F.round(cosine_to(query)("embedding"), digits).alias("score"))
-    best = rows.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long"))
+    return _top(rows, k)
 
 
 def parse_query(text: str) -> list[list[tuple[list[str], bool]]]:
@@ -101,85 +114,97 @@ def keyword_search(chunks: DataFrame, terms: list[str], k: int = 10, mode: str =
     for x in met[1:]:
         full = (full | x) if mode == "or" else (full & x)
     rows = chunks.filter(some).filter(full).select(F.col("id").alias("chunk_id"), F.round(total, 6).alias("score"))
-    best = rows.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long"))
+    return _top(rows, k)
 
 
-def cover_density(hits: list[tuple[int, int, float]], n_terms: int) -> float:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    """The stem of each word of each array."""
+    return pd.Series([[stem(w) for w in row] for row in words])
+
+
+def cover_density(hits: Column, n_terms: int) -> Column:
     """Sum over minimal covers of the number of terms' mean weight, damped by the noise inside.
 
-    ``hits`` are (position, term number, weight) by position. A cover from hit b to hit e holds every
-    term and no shorter one ends at e; it scores ((e-b+1) / sum of 1/weight) / (1 + (span - hits)).
+    ``hits`` are structs (at, term, weight) by position. A cover from hit b to hit e holds every term and
+    no shorter one ends at e; it scores ((e-b+1) / sum of 1/weight) / (1 + (span - hits)). One pass: the
+    state is the last hit of each term, the start of the last cover, and the score so far.
     """
-    last: dict[int, int] = {}
-    score, done = 0.0, -1
-    for e, (at, term, _) in enumerate(hits):
-        last[term] = e
-        if len(last) < n_terms:
-            continue
-        b = min(last.values())
-        if b <= done:
-            continue
-        done = b
-        inside = hits[b : e + 1]
-        size = e - b + 1
-        noise = (at - hits[b][0]) - (e - b)
-        score += (size / sum(1 / w for _, _, w in inside)) / (1 + max(0, noise))
-    return score
+    start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("done"), F.lit(0).alias("e"), F.lit(0.0).alias("score"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, t: F.when(t == hit["term"], acc["e"]).otherwise(x))
+        b = F.array_min(last)
+        size = acc["e"] - b + 1
+        inside = F.aggregate(F.slice(hits, b + 1, size), F.lit(0.0), lambda sum_, h: sum_ + 1 / h["weight"])
+        noise = F.greatest(F.lit(0), hit["at"] - F.element_at(hits, b + 1)["at"] - (size - 1))
+        new = b > acc["done"]
+        return F.struct(
+            last.alias("last"), F.when(new, b).otherwise(acc["done"]).alias("done"), (acc["e"] + 1).alias("e"),
+            F.when(new, acc["score"] + size / inside / (1 + noise)).otherwise(acc["score"]).alias("score"),
+        )
+
+    return F.aggregate(hits, start, step, lambda acc: acc["score"])
 
 
 def full_text_search(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(chunk_id, score, rank): stemmed matches of a web-style query, ranked by cover density.
 
     Words are lower-cased and stemmed, function words keep their position but never match; names come
-    before contents and weigh more. A query without words matches nothing.
+    before contents and weigh more. A query without words matches nothing. Tokens, phrases and covers
+    are Spark expressions over one row's arrays; Python only stems the words that begin like one asked for.
     """
     parsed = [[([stem(w) for w in words], neg) for words, neg in alt] for alt in parse_query(query)]
 
-    def starts(negated: bool) -> tuple[str, ...]:
+    def starts(negated: bool) -> list[str]:
         """Beginnings of the words that may match: stemming changes the last two letters of a stem at most."""
-        return tuple(sorted({p[: max(1, len(p) - 2)] for alt in parsed for words, neg in alt if negated or not neg for p in words}))
-
-    wanted = starts(True)
-
-    def rank_of(name: str | None, content: str | None) -> float | None:
-        words: list[tuple[str, float]] = []
-        for text, weight in ((name, WEIGHT_A), (content, WEIGHT_B)):
-            words += [(w, weight) for w in re.findall(r"[^\W]+", (text or "").lower())]
-        at: dict[str, list[tuple[int, float]]] = {}
-        for i, (w, weight) in enumerate(words):
-            if w.startswith(wanted) and w not in STOP_WORDS:
-                at.setdefault(stem(w), []).append((i, weight))
-        best = None
-        for alt in parsed:
-            ok, terms = any(not neg for _, neg in alt), []
-            for phrase, neg in alt:
-                starts = [i for i, _ in at.get(phrase[0], ()) if all(any(j == i + d for j, _ in at.get(p, ())) for d, p in enumerate(phrase))]
-                if bool(starts) == neg:
-                    ok = False
-                    break
-                if not neg:
-                    terms += phrase
-            if ok:
-                terms = list(dict.fromkeys(terms))
-                hits = sorted((i, n, w) for n, t in enumerate(terms) for i, w in at.get(t, ()))
-                score = cover_density(hits, len(terms))
-                best = score if best is None else best + score
-        return best
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = [rank_of(n, c) for n, c in zip(pdf["symbol_name"], pdf["content"])]
-            out = pd.DataFrame({"chunk_id": pdf["id"], "score": scores})
-            yield out[out["score"].notna()].astype({"score": "float64"})
+        return sorted({p[: max(1, len(p) - 2)] for alt in parsed for words, neg in alt if negated or not neg for p in words})
 
+    nothing = chunks.select(F.col("id").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    if not starts(False):
+        return nothing
+    any_of = lambda flags: functools.reduce(operator.or_, flags)
+    all_of = lambda flags: functools.reduce(operator.and_, flags)
     low = F.lower(F.concat_ws(" ", "symbol_name", "content"))
-    near = F.lit(False)
-    for x in starts(False):
-        near = near | low.contains(x)
-    rows = chunks.filter(near).select("id", "symbol_name", "content").mapInPandas(run, "chunk_id string, score double")
-    best = rows.groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long"))
+    rows = chunks.filter(any_of([low.contains(x) for x in starts(False)])).select("id", "symbol_name", "content")
+
+    def cut(name: str) -> Column:
+        return F.regexp_extract_all(F.lower(F.coalesce(F.col(name), F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+    rows = rows.withColumn("names", cut("symbol_name"))
+    placed = lambda words, offset, weight: F.transform(words, lambda w, i: F.struct((i + offset).alias("at"), w.alias("word"), F.lit(weight).alias("weight")))
+    words = F.concat(placed(F.col("names"), F.lit(0), WEIGHT_A), placed(cut("content"), F.size("names"), WEIGHT_B))
+    may = lambda x: any_of([x["word"].startswith(p) for p in starts(True)]) & ~x["word"].isin(*sorted(STOP_WORDS))
+    rows = rows.select("id", F.filter(words, may).alias("near"))
+    rows = rows.withColumn("stems", _stems(F.transform("near", lambda x: x["word"])))
+    hits = F.zip_with("near", "stems", lambda x, s: F.struct(x["at"].alias("at"), s.alias("stem"), x["weight"].alias("weight")))
+    rows = rows.select("id", hits.alias("hits"))
+
+    def stands(phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.exists("hits", lambda h: h["stem"] == phrase[0])
+        follows = lambda h, d, p: F.exists("hits", lambda g: (g["at"] == h["at"] + d) & (g["stem"] == p))
+        return F.exists("hits", lambda h: (h["stem"] == phrase[0]) & all_of([follows(h, d, p) for d, p in enumerate(phrase) if d]))
+
+    scores, flags = [], []
+    for n, alt in enumerate(parsed):
+        terms = list(dict.fromkeys(w for phrase, neg in alt if not neg for w in phrase))
+        if not terms:
+            continue
+        ok = all_of([~stands(phrase) if neg else stands(phrase) for phrase, neg in alt])
+        made = F.transform(F.filter("hits", lambda h: h["stem"].isin(*terms)), _with_term(terms))
+        rows = rows.withColumn(f"alt{n}", F.when(ok, F.array_sort(made)))
+        flags.append(ok)
+        scores.append(F.coalesce(cover_density(F.col(f"alt{n}"), len(terms)), F.lit(0.0)))
+    if not scores:
+        return nothing
+    rows = rows.filter(any_of(flags))
+    return _top(rows.select(F.col("id").alias("chunk_id"), F.round(functools.reduce(operator.add, scores), 6).alias("score")), k)
+
+
+def _with_term(terms: list[str]):
+    known = F.array(*[F.lit(t) for t in terms])
+    return lambda h: F.struct(h["at"].alias("at"), (F.array_position(known, h["stem"]).cast("int") - 1).alias("term"), h["weight"].alias("weight"))
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, top_k: int = 10, rrf_k: int = LIMITS.rrf_k) -> DataFrame:
@@ -205,6 +230,17 @@ def hybrid_search(chunks: DataFrame, query: list[float], terms: str | list[str],
     return fuse(vector_search(chunks, query, depth), ranked, top_k)
 
 
+def of_extension(hits: DataFrame, chunks: DataFrame, files: DataFrame, extension: str | None = None) -> DataFrame:
+    """``hits`` in files of one extension, by default that of the best hit; ranks stay as they were."""
+    paths = chunks.select(F.col("id").alias("chunk_id"), "file_id").join(hits.select("chunk_id"), "chunk_id", "left_semi").distinct()
+    paths = paths.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("chunk_id", S.extension(F.col("path")).alias("extension")).distinct()
+    rows = hits.join(paths, "chunk_id")
+    if extension is not None:
+        return rows.filter(F.col("extension") == extension)
+    best = rows.agg(F.min_by("extension", "rank").alias("wanted"))  # one row
+    return rows.join(F.broadcast(best), F.col("extension").eqNullSafe(F.col("wanted"))).drop("wanted")
+
+
 def siblings(chunks: DataFrame, hits: DataFrame, per_hit: int = 3) -> DataFrame:
     """(chunk_id, file_id, start_line): the first chunks of every hit file that are no hits themselves."""
     hit_files = chunks.join(hits.select(F.col("chunk_id").alias("id")), "id", "left_semi").select("file_id").distinct()

@@ -6,7 +6,7 @@ folder, then the switch of a pointer), so a crash never leaves half a change beh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.config import JOB_STATUS, LIMITS, MESSAGE_ROLES, REPO_STATUS
@@ -94,6 +94,34 @@ def enqueue(queue: DataFrame, requests: DataFrame) -> DataFrame:
 # Conversations
 
 
+def create_conversations(conversations: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """The table with a conversation for each row of ``asked`` (id, repo_id, title); no title gives the standard one."""
+    title = F.substring(F.coalesce("title", F.lit("New conversation")), 1, 200)
+    new = asked.select("id", "repo_id", title.alias("title"), now.alias("created_at"), now.alias("updated_at"))
+    return dml.insert_rows(conversations, new)
+
+
+def recent_conversations(conversations: DataFrame, per_repo: int = 20) -> DataFrame:
+    """(repo_id, place, id): the conversations of each repository that were changed last."""
+    order = Window.partitionBy("repo_id").orderBy(F.desc_nulls_last("updated_at"), "id")
+    return conversations.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_repo).select("repo_id", "place", "id")
+
+
+def first_messages(messages: DataFrame, most: int = 50) -> DataFrame:
+    """(conversation_id, place, id): the first messages of each conversation, oldest first."""
+    order = Window.partitionBy("conversation_id").orderBy(F.asc_nulls_last("created_at"), "id")
+    rows = messages.filter("conversation_id is not null").withColumn("place", F.row_number().over(order))
+    return rows.filter(F.col("place") <= most).select("conversation_id", "place", "id")
+
+
+def repos_for_page(repos: DataFrame, url: str, most: int = 50) -> DataFrame:
+    """(place, id, matched): a short list of repositories, the one of the page first, then by last change."""
+    hit = F.coalesce(S.normalize_remote(F.col("github_url")) == S.normalize_remote(F.lit(url)), F.lit(False))
+    order = [F.desc("matched"), F.desc_nulls_last("updated_at"), F.asc("id")]
+    few = repos.select("id", "updated_at", hit.alias("matched")).orderBy(*order).limit(most)
+    return few.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("place", "id", "matched")
+
+
 def append_messages(conversations: DataFrame, messages: DataFrame, added: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(conversations, messages) after adding rows; parents get a new updated_at, unknown roles are refused."""
     known = added.filter(F.col("role").isin(*MESSAGE_ROLES))
@@ -131,8 +159,6 @@ def pull_request_files(files: DataFrame) -> DataFrame:
 
     Each section is the file's header and its fenced patch; at most 50 are gathered for a pull request.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("pull_id").orderBy("filename")
     first = files.withColumn("n", F.row_number().over(order)).filter("n <= 50")
     patch = S.clipped(F.col("patch"), LIMITS.patch_chars, "\n… (patch truncated)")
@@ -140,3 +166,23 @@ def pull_request_files(files: DataFrame) -> DataFrame:
     body = F.when(F.col("patch").isNull(), F.lit(" *(binary file or patch unavailable)*")).otherwise(F.concat(F.lit("\n```diff\n"), patch, F.lit("\n```")))
     rows = first.groupBy("pull_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(head, body).alias("section")))).alias("s"))
     return rows.select("pull_id", F.array_join(F.transform("s", lambda x: x["section"]), "\n\n").alias("sections"), F.size("s").alias("n_files"))
+
+
+def pull_request_message(pulls: DataFrame, sections: DataFrame) -> DataFrame:
+    """(pull_id, message): the whole request for a review, from ``pulls`` and the sections of its files.
+
+    ``pulls`` has pull_id, title, repo, head, base, additions, deletions, changed, state, merged, body;
+    the description is cut at 800 characters and left out where it is blank.
+    """
+    rows = pulls.join(sections, "pull_id", "left")
+    shown = F.coalesce("n_files", F.lit(0))
+    files = lambda n: F.concat(n.cast("string"), F.when(n == 1, " file").otherwise(" files"))
+    about = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", "").otherwise(F.concat(F.lit("\n**Description:**\n"), F.substring("body", 1, 800), F.lit("\n")))
+    # fixed format
+    message = F.concat(
+        F.lit("Please review this pull request:\n\n## "), "title", F.lit("\n- **Repo:** "), "repo", F.lit("  branch `"), "head", F.lit("` → `"), "base",
+        F.lit("`\n- **Stats:** +"), F.col("additions").cast("string"), F.lit(" / -"), F.col("deletions").cast("string"), F.lit(" across "), files(F.col("changed")),
+        F.lit("\n- **Status:** "), F.when(F.col("merged"), "Merged").otherwise(F.col("state")), about, F.lit("\n\n## Diff ("), files(shown), F.lit(" shown)\n\n"),
+        F.coalesce("sections", F.lit("")),
+    )
+    return rows.select("pull_id", message.alias("message"))

@@ -84,7 +84,7 @@ class Tools:
 
     def get_dependencies(self, path: str) -> DataFrame:
         root = self._root(path).select(F.col("id").alias("file_id"))
-        return graph.dependencies(self.files, self.edges).join(root, "file_id", "left_semi")
+        return graph.dependencies(self.files, self.edges, only=root)
 
     def get_impact(self, path: str, depth: int = LIMITS.impact_depth) -> DataFrame:
         """(root, path, language, depth, total): the first 100 affected files and how many there are."""

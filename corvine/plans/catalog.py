@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +34,18 @@ def _with(sql: str, *names: str) -> str:
     return f"WITH {recursive}{head}{', ' + sql[5:].strip() if sql.startswith('WITH ') else ' ' + sql}"
 
 
-def query(sql: str | None, *names: str, raw: bool = False):
+def query(sql: str | None, *names: str, raw: bool = False, after: str | None = None):
     """Register a query over the named tables, each id once, with its SQL.
 
     ``raw`` queries get the tables as they are: their operators merge repeated rows themselves, where
-    only ids and scores are left to shuffle.
+    only ids and scores are left to shuffle. With ``after`` the first table stays as it is and repeated
+    rows are merged by that column of the result, so what is shuffled is the small result.
     """
 
     def add(f):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return f(*[table(spark, root, n) if raw else rows_once(table(spark, root, n)) for n in names])
+            out = f(*[table(spark, root, n) if raw or after and not i else rows_once(table(spark, root, n)) for i, n in enumerate(names)])
+            return rows_once(out, after) if after else out
 
         QUERIES[f.__name__] = run
         if sql is not None:
@@ -102,18 +105,18 @@ def language_facets(f):
     return reports.language_facets(f)
 
 
-@query("SELECT id, CAST(ceil(len(content) / 4.0) AS BIGINT) AS tokens FROM c WHERE content IS NOT NULL", "chunks")
+@query("SELECT id, CAST(ceil(len(content) / 4.0) AS BIGINT) AS tokens FROM c WHERE content IS NOT NULL", "chunks", after="id")
 def token_estimate(c):
     # contents are in the basic plane, where UTF-16 units and characters are the same
     return c.filter("content is not null").select("id", S.token_estimate(F.col("content")).alias("tokens"))
 
 
-@query("SELECT id, sha256(content) AS hash FROM c WHERE content IS NOT NULL", "chunks")
+@query("SELECT id, sha256(content) AS hash FROM c WHERE content IS NOT NULL", "chunks", after="id")
 def content_hash(c):
     return c.filter("content is not null").select("id", F.sha2("content", 256).alias("hash"))
 
 
-@query("SELECT id, CASE WHEN len(content) > 1200 THEN concat(substring(content, 1, 1200), '…') ELSE content END AS shown FROM c", "chunks")
+@query("SELECT id, CASE WHEN len(content) > 1200 THEN concat(substring(content, 1, 1200), '…') ELSE content END AS shown FROM c", "chunks", after="id")
 def snippet_truncate(c):
     return c.select("id", S.clipped(F.col("content"), 1200).alias("shown"))
 
@@ -136,12 +139,14 @@ def normalize_remote(r):
 _CITE = r"[a-zA-Z0-9_./-]+\.[a-zA-Z]{1,6}:\d+(?:-\d+)?"
 
 
-@query(f"SELECT id, unnest(regexp_extract_all(content, '{_CITE}')) AS citation FROM m WHERE content IS NOT NULL", "messages")
+@query(f"SELECT id, unnest(regexp_extract_all(content, '{_CITE}')) AS citation FROM m WHERE content IS NOT NULL", "messages", raw=True)
 def citations(m):
-    return m.filter("content is not null").select("id", F.explode(S.citations(F.col("content"))).alias("citation"))
+    # the citations, not the texts, are what is shuffled
+    rows = rows_once(m.filter("content is not null").select("id", S.citations(F.col("content")).alias("found")))
+    return rows.select("id", F.explode("found").alias("citation"))
 
 
-@query("SELECT id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM m", "messages")
+@query("SELECT id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM m", "messages", after="id")
 def html_escape(m):
     return m.select("id", S.html_escape(F.col("content")).alias("html"))
 
@@ -153,6 +158,7 @@ _TRIM = r"'^[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}
     f"""SELECT id, CASE WHEN json_valid(parts) AND json_type(parts) = 'ARRAY' THEN regexp_replace(array_to_string(list_transform(list_filter(CAST(parts AS JSON[]),
   lambda x: json_extract_string(x, '$.type') = 'text' AND json_type(x, '$.text') = 'VARCHAR'), lambda x: json_extract_string(x, '$.text')), chr(10)), {_TRIM}, '', 'g') ELSE coalesce(content, '') END AS preview FROM m""",
     "messages",
+    after="id",
 )
 def preview_text(m):
     return m.select("id", S.preview_text(F.col("parts"), F.col("content")).alias("preview"))
@@ -233,6 +239,7 @@ def unembedded_chunks(c):
  substring(CASE WHEN least(len(string_split(content, chr(10))), 12) >= 3 THEN array_to_string(list_slice(string_split(content, chr(10)), 3, least(len(string_split(content, chr(10))), 12)), chr(10)) ELSE '' END, 1, 8000) AS text
  FROM c WHERE content IS NOT NULL""",
     "chunks",
+    after="chunk_id",
 )
 def read_lines(c):
     return reports.read_lines(c.filter("content is not null"), 3, 12)
@@ -304,6 +311,64 @@ def list_messages(m):
     return m.filter("conversation_id is not null").select("id", "conversation_id", F.lower(F.trim("role")).alias("role"), _micros("created_at").cast("string").alias("created_at"))
 
 
+@query("SELECT id, regexp_replace(concat(github_url, '//'), '/+$', '') AS server FROM r", "repos")
+def trim_server(r):
+    return r.select("id", S.trimmed_server(F.concat("github_url", F.lit("//"))).alias("server"))
+
+
+@query("SELECT id, name, status FROM r", "repos")
+def list_repos_tool(r):
+    return r.select("id", "name", "status")
+
+
+_URL = r"lower(regexp_replace(regexp_replace(regexp_replace(trim(github_url), '^https?://', ''), '^www\.', ''), '(\.git)?/*$', ''))"
+
+
+@query(
+    f"""WITH u AS (SELECT {_URL} AS url FROM r ORDER BY id DESC LIMIT 1), h AS (SELECT id, updated_at, coalesce({_URL} = (SELECT url FROM u), false) AS matched FROM r)
+ SELECT CAST(row_number() OVER (ORDER BY matched DESC, updated_at DESC NULLS LAST, id) AS INTEGER) AS place, id, matched FROM h QUALIFY place <= 50""",
+    "repos",
+)
+def repos_for_page(r):
+    # the page is that of the last repository, in another spelling
+    page = r.orderBy(F.desc("id")).select(F.concat(F.regexp_replace("github_url", r"(\.git)?/*$", ""), F.lit(".git")).alias("url")).first()
+    return services.repos_for_page(r, page["url"] if page else "")
+
+
+@query("SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY updated_at DESC NULLS LAST, id) AS INTEGER) AS place, id FROM v QUALIFY place <= 20", "conversations")
+def recent_conversations(v):
+    return services.recent_conversations(v)
+
+
+@query("SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY created_at ASC NULLS LAST, id) AS INTEGER) AS place, id FROM m WHERE conversation_id IS NOT NULL QUALIFY place <= 50", "messages")
+def first_messages(m):
+    return services.first_messages(m)
+
+
+@query("SELECT id, repo_id, title FROM v UNION ALL SELECT sha256(r.id), r.id, CASE WHEN r.status = 'ready' THEN substring(repeat(r.name, 40), 1, 200) ELSE 'New conversation' END FROM r WHERE r.id NOT IN (SELECT repo_id FROM v WHERE repo_id IS NOT NULL)", "conversations", "repos")
+def create_conversations(v, r):
+    new = r.join(v.select(F.col("repo_id").alias("id")), "id", "left_anti")
+    asked = new.select(F.sha2("id", 256).alias("id"), F.col("id").alias("repo_id"), F.when(F.col("status") == "ready", F.repeat("name", F.lit(40))).alias("title"))
+    return services.create_conversations(v, asked, F.to_timestamp(F.lit(SPLIT))).select("id", "repo_id", "title")
+
+
+@query(
+    """SELECT id, CASE WHEN status = 'queued' THEN 'cloning' WHEN status = 'cloning' THEN 'failed' ELSE status END AS status,
+ CAST(CASE WHEN status = 'queued' THEN 100 WHEN status = 'cloning' THEN 0 ELSE progress END AS INTEGER) AS progress, CASE WHEN status = 'cloning' THEN repeat('x', 2000) ELSE error END AS error,
+ CAST(epoch_us(CASE WHEN status = 'queued' THEN TIMESTAMPTZ '2026-01-01 00:00:00+00' ELSE started_at END) AS VARCHAR) AS started_at, CAST(epoch_us(CASE WHEN status = 'cloning' THEN TIMESTAMPTZ '2026-01-01 00:00:00+00' ELSE finished_at END) AS VARCHAR) AS finished_at FROM j""",
+    "index_jobs",
+)
+def update_jobs(j):
+    # queued jobs begin, with a progress that is out of range; those that clone fail with a long message
+    begun, failing = F.col("status") == "queued", F.col("status") == "cloning"
+    updates = j.filter(begun | failing).select(
+        "id", F.when(begun, "cloning").otherwise("failed").alias("status"), F.when(begun, 250).otherwise(-5).alias("progress"),
+        F.when(failing, F.repeat(F.lit("x"), 3000)).alias("error"), failing.alias("finished"),
+    )
+    out = dml.update_jobs(j, updates, F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    return out.select("id", "status", "progress", "error", _micros("started_at").cast("string").alias("started_at"), _micros("finished_at").cast("string").alias("finished_at"))
+
+
 # Changing tables ---------------------------------------------------------------------------------------
 
 _RUNS = f"""old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY created_at DESC NULLS LAST, id DESC) AS k FROM f WHERE created_at < TIMESTAMPTZ '{SPLIT}+00') WHERE k = 1),
@@ -343,28 +408,39 @@ def orphan_files(f):
     return old.join(new.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select("id")
 
 
-@query("SELECT DISTINCT source_file_id, target_file_id, edge_type FROM e WHERE source_file_id <> target_file_id", "file_edges")
+@query("SELECT DISTINCT source_file_id, target_file_id, edge_type FROM e WHERE source_file_id <> target_file_id EXCEPT SELECT source_file_id, target_file_id, edge_type FROM e WHERE edge_type = 'import'", "file_edges")
 def insert_edges(e):
+    # the table holds the imports already
     keys = ["source_file_id", "target_file_id", "edge_type"]
-    return dml.insert_ignore(e.limit(0), e.filter("source_file_id <> target_file_id"), keys).select(*keys)
+    return dml.insert_ignore(e.filter("edge_type = 'import'"), e.filter("source_file_id <> target_file_id"), keys).select(*keys)
+
+
+@query(f"SELECT id, file_id, created_at < TIMESTAMPTZ '{SPLIT}+00' AS was FROM c", "chunks")
+def insert_chunks(c):
+    # the later run delivers all chunks again; only the new ones are added
+    rows = c.select("id", "file_id", (F.col("created_at") < F.to_timestamp(F.lit(SPLIT))).alias("was"))
+    return dml.insert_rows(rows.filter("was"), rows)
+
+
+@query("SELECT id, CASE WHEN embedding IS NOT NULL THEN len(embedding) WHEN regexp_matches(content, '[\\p{L}\\p{N}_]') THEN 64 END AS numbers FROM c", "chunks")
+def write_embeddings(c):
+    made = retrieval.embed_missing(c, DIM).withColumnRenamed("chunk_id", "id")
+    return dml.write_back(c, made, "embedding").select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("numbers"))
 
 
 @query(
     """WITH g AS (SELECT id FROM r WHERE status = 'failed'), gf AS (SELECT id FROM f WHERE repo_id IN (SELECT id FROM g)), gv AS (SELECT id FROM v WHERE repo_id IN (SELECT id FROM g))
- SELECT 'repos' AS name, count(*) AS n FROM r WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'files', count(*) FROM f WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false)
- UNION ALL SELECT 'chunks', count(*) FROM c WHERE NOT coalesce(file_id IN (SELECT id FROM gf), false) UNION ALL SELECT 'file_edges', count(*) FROM e WHERE NOT coalesce(source_file_id IN (SELECT id FROM gf), false) AND NOT coalesce(target_file_id IN (SELECT id FROM gf), false)
- UNION ALL SELECT 'index_jobs', count(*) FROM j WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false) UNION ALL SELECT 'conversations', count(*) FROM v WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false)
- UNION ALL SELECT 'messages', count(*) FROM m WHERE NOT coalesce(conversation_id IN (SELECT id FROM gv), false)""",
+ SELECT 'repos' AS name, id FROM r WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'files', id FROM f WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false)
+ UNION ALL SELECT 'chunks', id FROM c WHERE NOT coalesce(file_id IN (SELECT id FROM gf), false) UNION ALL SELECT 'file_edges', id FROM e WHERE NOT coalesce(source_file_id IN (SELECT id FROM gf), false) AND NOT coalesce(target_file_id IN (SELECT id FROM gf), false)
+ UNION ALL SELECT 'index_jobs', id FROM j WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false) UNION ALL SELECT 'conversations', id FROM v WHERE NOT coalesce(repo_id IN (SELECT id FROM g), false)
+ UNION ALL SELECT 'messages', id FROM m WHERE NOT coalesce(conversation_id IN (SELECT id FROM gv), false)""",
     "repos", "index_jobs", "files", "chunks", "file_edges", "conversations", "messages",
 )
 def delete_cascade(r, j, f, c, e, v, m):
     tables = dict(repos=r, index_jobs=j, files=f, chunks=c, file_edges=e, conversations=v, messages=m)
     left = dml.delete_repo(tables, r.filter("status = 'failed'").select(F.col("id").alias("repo_id")))
-    out = None
-    for name, df in left.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = [df.select(F.lit(name).alias("name"), "id") for name, df in left.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 @query("SELECT id, CASE WHEN status IN ('queued', 'indexing') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('queued', 'indexing') THEN 'main' ELSE default_branch END AS default_branch FROM r", "repos")
@@ -403,7 +479,7 @@ def append_messages(v, m):
     return bumped.select("id", _micros("updated_at").alias("updated_at"))
 
 
-@query("SELECT c.id, concat('Explain it.', chr(10), chr(10), 'The user is looking at this code in `', path, '`:', chr(10), '```', chr(10), content, chr(10), '```') AS asked FROM c JOIN f ON c.file_id = f.id WHERE content IS NOT NULL", "chunks", "files")
+@query("SELECT c.id, concat('Explain it.', chr(10), chr(10), 'The user is looking at this code in `', path, '`:', chr(10), '```', chr(10), content, chr(10), '```') AS asked FROM c JOIN f ON c.file_id = f.id WHERE content IS NOT NULL", "chunks", "files", after="id")
 def ask_with_context(c, f):
     rows = c.filter("content is not null").join(f.select(F.col("id").alias("file_id"), "path"), "file_id")
     return rows.select("id", services.ask_with_context(F.lit("Explain it."), F.col("path"), F.col("content")).alias("asked"))
@@ -464,6 +540,19 @@ def keyword_topk_and(c):
     return retrieval.keyword_search(c, TERMS, mode="and")
 
 
+# the words that stem to handl and queue
+def _forms(col: str, forms: str) -> str:
+    return f"len(list_filter(regexp_extract_all(lower(coalesce({col}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '{forms}')))"
+
+
+_BOTH = [_forms(c, w) for w in ("handl(e|es|ed|ing)", "queues?") for c in ("symbol_name", "content")]
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT id AS chunk_id, CAST(round(1.0 * {_BOTH[0]} + 0.4 * {_BOTH[1]} + 1.0 * {_BOTH[2]} + 0.4 * {_BOTH[3]}, 6) AS DOUBLE) AS score FROM c WHERE {' + '.join(_BOTH)} > 0 ORDER BY score DESC, chunk_id LIMIT 10)", "chunks", raw=True)
+def full_text_or(c):
+    return retrieval.full_text_search(c, "handles OR queues")
+
+
 @query(None, "chunks", raw=True)
 def full_text_cover(c):
     return retrieval.full_text_search(c, 'handles -widget OR "shard queue"')
@@ -516,6 +605,14 @@ def hit_facets(c, f):
     return rows.groupBy(S.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("hits"))
 
 
+@query(
+    f"{_HYBRID}, h AS (SELECT fu.chunk_id, rank, {_EXT} AS extension FROM fu JOIN c ON fu.chunk_id = c.id JOIN f ON c.file_id = f.id) SELECT chunk_id, rank, extension FROM h WHERE extension IS NOT DISTINCT FROM (SELECT arg_min(extension, rank) FROM h)",
+    "chunks", "files", raw=True,
+)
+def hits_of_extension(c, f):
+    return retrieval.of_extension(_hits(c), c, f).select("chunk_id", "rank", "extension")
+
+
 @query(
     f"{_HYBRID} SELECT rank, concat(path, ':', start_line, '-', end_line) AS citation, symbol_name, CASE WHEN len(content) > 800 THEN concat(substring(content, 1, 800), '…') ELSE content END AS snippet, score, source FROM fu JOIN c ON fu.chunk_id = c.id JOIN f ON c.file_id = f.id",
     "chunks", "files", raw=True,
@@ -617,17 +714,37 @@ _ID = "concat('n_', regexp_replace({}, '[^A-Za-z0-9_]', '_', 'g'))"
 _LABEL = "replace(replace({}, '\"', '&quot;'), chr(10), ' ')"
 
 
+_CHART = f"""WITH {_EDGES}, n AS (SELECT id, repo_id, replace(path, '\\', '/') AS path FROM f), k AS (SELECT repo_id, CASE WHEN count(*) > 80 THEN 'directories' ELSE 'files' END AS mode FROM n GROUP BY 1),
+ d AS (SELECT n.*, mode, {_DIR} AS dir FROM n JOIN k USING (repo_id)), p AS (SELECT DISTINCT a.repo_id, a.dir AS sd, b.dir AS td FROM g JOIN d a ON g.s = a.id JOIN d b ON g.t = b.id WHERE a.repo_id = b.repo_id AND a.dir <> b.dir AND a.mode = 'directories'),
+ x AS (SELECT repo_id, mode, 0 AS part, '' AS dir, 0 AS kind, '' AS path, 'flowchart LR' AS line FROM k
+ UNION ALL SELECT id, 'empty', unnest([0, 1]), '', 0, '', unnest(['flowchart LR', '  empty[No files indexed yet]']) FROM r WHERE id NOT IN (SELECT repo_id FROM k WHERE repo_id IS NOT NULL)
+ UNION ALL SELECT DISTINCT repo_id, mode, 1, dir, 0, '', concat(CASE WHEN mode = 'files' THEN '  subgraph ' ELSE '  ' END, {_ID.format("concat('dir_', dir)")}, '["', {_LABEL.format("dir")}, '"]') FROM d
+ UNION ALL SELECT repo_id, mode, 1, dir, 1, path, concat('    ', {_ID.format("id")}, '["', {_LABEL.format(_BASE)}, '"]') FROM d WHERE mode = 'files'
+ UNION ALL SELECT DISTINCT repo_id, mode, 1, dir, 2, '', '  end' FROM d WHERE mode = 'files'
+ UNION ALL SELECT repo_id, mode, 2, '', 0, '', concat('  ', {_ID.format("s")}, ' --> ', {_ID.format("t")}) FROM g JOIN d ON g.s = d.id WHERE mode = 'files'
+ UNION ALL SELECT repo_id, 'directories', 2, '', 0, '', concat('  ', {_ID.format("concat('dir_', sd)")}, ' --> ', {_ID.format("concat('dir_', td)")}) FROM p)"""
+
+
+@query(f"{_CHART} SELECT * FROM x", "files", "file_edges", "repos")
+def diagram_text(f, e, r):
+    return graph.diagram_lines(f, e, r)
+
+
+@query(f"{_CHART} SELECT repo_id, string_agg(line, chr(10) ORDER BY part, dir, kind, path, line) AS text FROM x WHERE mode <> 'directories' GROUP BY 1", "files", "file_edges", "repos")
+def diagram_file_texts(f, e, r):
+    return graph.diagram_texts(graph.diagram_lines(f, e, r))
+
+
 @query(
-    f"""WITH {_EDGES}, n AS (SELECT id, repo_id, replace(path, '\\', '/') AS path FROM f), k AS (SELECT repo_id, CASE WHEN count(*) > 80 THEN 'directories' ELSE 'files' END AS mode FROM n GROUP BY 1),
- d AS (SELECT n.*, mode, {_DIR} AS dir FROM n JOIN k USING (repo_id)), p AS (SELECT DISTINCT a.repo_id, a.dir AS sd, b.dir AS td FROM g JOIN d a ON g.s = a.id JOIN d b ON g.t = b.id WHERE a.repo_id = b.repo_id AND a.dir <> b.dir AND a.mode = 'directories')
- SELECT DISTINCT repo_id, mode, '1 box' AS section, concat(CASE WHEN mode = 'files' THEN '  subgraph ' ELSE '  ' END, {_ID.format("concat('dir_', dir)")}, '["', {_LABEL.format("dir")}, '"]') AS line FROM d
- UNION ALL SELECT repo_id, mode, '2 file', concat('    ', {_ID.format("id")}, '["', {_LABEL.format(_BASE)}, '"]') FROM d WHERE mode = 'files'
- UNION ALL SELECT repo_id, mode, '3 edge', concat('  ', {_ID.format("s")}, ' --> ', {_ID.format("t")}) FROM g JOIN d ON g.s = d.id WHERE mode = 'files'
- UNION ALL SELECT repo_id, 'directories', '3 edge', concat('  ', {_ID.format("concat('dir_', sd)")}, ' --> ', {_ID.format("concat('dir_', td)")}) FROM p""",
-    "files", "file_edges",
+    """WITH q AS (SELECT id FROM r WHERE status = 'ready'), g AS (SELECT id FROM f WHERE repo_id IN (SELECT id FROM q))
+ SELECT source_file_id, target_file_id, edge_type FROM e WHERE NOT coalesce(source_file_id IN (SELECT id FROM g), false)
+ UNION ALL SELECT DISTINCT target_file_id, source_file_id, 'reverse' FROM e WHERE source_file_id <> target_file_id AND target_file_id IN (SELECT id FROM g) AND source_file_id IN (SELECT id FROM f)""",
+    "file_edges", "files", "repos",
 )
-def diagram_text(f, e):
-    return graph.diagram_lines(f, e)
+def rebuild_edges(e, f, r):
+    # the edges of ready repositories are replaced by those that point the other way
+    found = e.select(F.col("target_file_id").alias("source_file_id"), F.col("source_file_id").alias("target_file_id"), F.lit("reverse").alias("edge_type"))
+    return graph.rebuild_edges(e, f, r.filter("status = 'ready'").select(F.col("id").alias("repo_id")), found)
 
 
 _SPELLED = r"regexp_replace(replace(path, '\', '/'), '^\./', '')"

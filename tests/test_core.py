@@ -144,10 +144,15 @@ def test_query_language():
     assert retrieval.parse_query("the of") == [] and retrieval.parse_query('"open -') == [[(["open"], False)]]
 
 
-def test_cover_density():
-    assert retrieval.cover_density([(0, 0, 0.4), (5, 0, 0.4)], 1) == pytest.approx(0.8)
-    assert retrieval.cover_density([(0, 0, 0.4), (1, 1, 0.4)], 2) == pytest.approx(0.4)
-    assert retrieval.cover_density([(0, 0, 0.4), (3, 1, 0.4)], 2) == pytest.approx(0.4 / 3)
+def test_cover_density(spark):
+    def score(hits, n):
+        rows = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(t).alias("term"), F.lit(w).alias("weight")) for a, t, w in hits])
+        return spark.range(1).select(rows.alias("hits")).select(retrieval.cover_density(F.col("hits"), n)).first()[0]
+
+    assert score([(0, 0, 0.4), (5, 0, 0.4)], 1) == pytest.approx(0.8)
+    assert score([(0, 0, 0.4), (1, 1, 0.4)], 2) == pytest.approx(0.4)
+    assert score([(0, 0, 0.4), (3, 1, 0.4)], 2) == pytest.approx(0.4 / 3)
+    assert score([(0, 0, 1.0)], 2) == 0
 
 
 def hits(spark, ids):
@@ -364,3 +369,64 @@ def test_full_text(spark):
     assert set(found('"shard queue"')) == {"f"} and set(found("shard OR widgets")) == {"c", "f", "g"}
     assert found("queue")["a"] == pytest.approx(0.8) and found("handled queue")["b"] == pytest.approx(0.4 / 2)
     assert found("the of") == {} and found("") == {}
+
+
+def test_segments_and_server(spark):
+    cases = {
+        "plain": [("text", "plain")], "a\n```mermaid\nx --> y\n```\nb": [("text", "a\n"), ("mermaid", "x --> y"), ("text", "\nb")], "```mermaid\nq\n```": [("mermaid", "q")],
+        "```mermaid\n \n```": [], "see ```mermaid\nopen": [("text", "see ```mermaid\nopen")], "": [], "```mermaid\r\na\r\n``````mermaid\nb\n```": [("mermaid", "a"), ("mermaid", "b")],
+    }
+    for text, want in cases.items():
+        assert [tuple(r) for r in one(spark, S.segments(F.col("t")), t=text)] == want
+    assert one(spark, S.trimmed_server(F.col("t")), t="http://a.example:3000//") == "http://a.example:3000"
+
+
+def test_review_message(spark):
+    files = spark.createDataFrame([(1, "a.py", "modified", 3, 1, "+x"), (1, "b.png", "added", 0, 0, None)], "pull_id long, filename string, status string, additions long, deletions long, patch string")
+    pulls = spark.createDataFrame([(1, "Fix it", "o/r", "dev", "main", 3, 1, 2, "open", False, "b" * 900), (2, "None", "o/r", "dev", "main", 0, 0, 1, "closed", True, "  ")], "pull_id long, title string, repo string, head string, base string, additions long, deletions long, changed long, state string, merged boolean, body string")
+    got = {r["pull_id"]: r["message"] for r in services.pull_request_message(pulls, services.pull_request_files(files)).collect()}
+    assert "- **Stats:** +3 / -1 across 2 files\n- **Status:** open\n**Description:**\n" + "b" * 800 + "\n\n\n## Diff (2 files shown)\n\n**a.py** (modified, +3/-1)\n```diff\n+x\n```\n\n**b.png**" in got[1]
+    assert "across 1 file\n- **Status:** Merged\n\n## Diff (0 files shown)" in got[2]
+
+
+def test_diagram_texts(spark):
+    files = spark.createDataFrame([("a", "r", "src/a.ts"), ("b", "r", 'src/b"x.ts'), ("c", "r", "main.ts")], "id string, repo_id string, path string")
+    edges = spark.createDataFrame([("a", "b", "import"), ("c", "a", "import"), ("a", "b", "import"), ("a", "a", "import")], "source_file_id string, target_file_id string, edge_type string")
+    repos = spark.createDataFrame([("r",), ("bare",)], "id string")
+    got = {r["repo_id"]: r["text"] for r in graph.diagram_texts(graph.diagram_lines(files, edges, repos)).collect()}
+    assert got["bare"] == "flowchart LR\n  empty[No files indexed yet]"
+    assert got["r"].split("\n") == [
+        "flowchart LR", '  subgraph n_dir__root_["(root)"]', '    n_c["main.ts"]', "  end", '  subgraph n_dir_src["src"]', '    n_a["a.ts"]', '    n_b["b&quot;x.ts"]', "  end", "  n_a --> n_b", "  n_c --> n_a",
+    ]
+
+
+def test_resolution_takes_the_first_candidate(spark):
+    files = [(p,) for p in ("src/a.ts", "src/b.js", "src/b.tsx", "src/c/index.js", "src/c/index.ts", "src/d", "src/d.ts", "lib/e.mjs", "src/main.ts", "src/f.ts")]
+    files = spark.createDataFrame([("r", p) for (p,) in files], "repo_id string, path string")
+    want = {"./a": "src/a.ts", "./b": "src/b.tsx", "./c": "src/c/index.ts", "./d": "src/d", "../lib/e": "lib/e.mjs", "./f.ts": "src/f.ts", "react": None, "./gone": None, "../../up": None, "./main": None}
+    refs = spark.createDataFrame([("r", "src/main.ts", s) for s in want], "repo_id string, path string, specifier string")
+    assert {r["target"] for r in graph.resolve_js(refs, files).collect()} == {t for t in want.values() if t}
+    python = spark.createDataFrame([("r", p) for p in ("pkg/a.py", "pkg/b/__init__.py", "pkg/b.pyi", "pkg/sub/m.py", "top.py")], "repo_id string, path string")
+    refs = spark.createDataFrame([("r", "pkg/sub/m.py", s) for s in ("..a", "..b", "...top", "....far", "os")], "repo_id string, path string, specifier string")
+    assert {r["target"] for r in graph.resolve_python(refs, python).collect()} == {"pkg/a.py", "pkg/b.pyi", "top.py"}
+
+
+def test_reach_stops_where_a_root_is_full(spark):
+    edges = [(f"m{i:02d}", "root", "import") for i in range(30)] + [(f"n{i:02d}", f"m{i:02d}", "import") for i in range(30)]
+    edges = spark.createDataFrame(edges, "source_file_id string, target_file_id string, edge_type string")
+    roots = spark.createDataFrame([("root",), ("m03",)], "root string")
+    got = {}
+    for r in graph.reverse_reach(edges, roots, depth=3, visited=20).collect():
+        got.setdefault(r["root"], []).append((r["depth"], r["id"]))
+    assert sorted(got["root"]) == [(1, f"m{i:02d}") for i in range(20)] and got["m03"] == [(1, "n03")]
+    more = [tuple(r) for r in graph.reverse_reach(edges, roots, depth=3, visited=40).filter("root = 'root'").orderBy("depth", "id").collect()]
+    assert len(more) == 40 and more[-1] == ("root", "n09", 2)
+
+
+def test_scalar_queries_shuffle_no_texts(spark):
+    chunks = spark.createDataFrame([("a", "text")], "id string, content string")
+    for name in ("token_estimate", "content_hash"):
+        assert name in catalog.QUERIES
+    plan = chunks.select("id", S.token_estimate(F.col("content")).alias("tokens")).dropDuplicates(["id"])._jdf.queryExecution().executedPlan().toString()
+    exchange = next(x for x in plan.split("\n") if "Exchange" in x)
+    assert "content" not in exchange
