@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ Piece = tuple  # (name, type, first line, last line, content)
 
 def tokens(text: str) -> int:
     """A quarter of the UTF-16 units, rounded up."""
-    return -(-(len(text) + sum(c > "￿" for c in text)) // 4)
+    return -(-units(text) // 4)
 
 
 def text_chunks(text: str, least: int = LIMITS.min_chunk_tokens, most: int = LIMITS.max_chunk_tokens) -> list[Piece]:
@@ -67,15 +68,20 @@ def text_chunks(text: str, least: int = LIMITS.min_chunk_tokens, most: int = LIM
     return out
 
 
+def units(text: str) -> int:
+    return len(text) + sum(c > "\uffff" for c in text)
+
+
 def split_lines(piece: Piece, most: int = LIMITS.max_chunk_tokens) -> list[Piece]:
     """Pieces of whole lines, each closed once it has ``most`` tokens; all keep the symbol."""
     name, kind, first, _, content = piece
-    out, held, at = [], [], first
+    out, held, at, size = [], [], first, -1
     for i, line in enumerate(content.split("\n")):
         held.append(line)
-        if tokens("\n".join(held)) >= most:
+        size += units(line) + 1
+        if -(-size // 4) >= most:
             out.append((name, kind, at, first + i, "\n".join(held)))
-            held, at = [], first + i + 1
+            held, at, size = [], first + i + 1, -1
     if held:
         out.append((name, kind, at, at + len(held) - 1, "\n".join(held)))
     return out
@@ -160,9 +166,10 @@ def _js_close(text: str, at: int) -> int:
 
 
 def _js_symbols(text: str) -> list[Piece]:
+    breaks = [m.start() for m in re.finditer("\n", text)]
+
     def make(name, kind, start, end) -> Piece:
-        first = text.count("\n", 0, start) + 1
-        return (name, kind, first, first + text.count("\n", start, end), text[start:end])
+        return (name, kind, bisect_left(breaks, start) + 1, bisect_left(breaks, end) + 1, text[start:end])
 
     out, past = [], 0
     for m in _JS_HEAD.finditer(text):

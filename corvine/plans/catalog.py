@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.config import LIMITS
 from corvine.functions import scalars as S
 from corvine.functions import values as V
-from corvine.operators import chunking, dml, graph, reports, retrieval, services, tools
+from corvine.operators import chunking, dml, graph, indexing, reports, retrieval, services, tools
 from corvine.schemas import SCHEMAS
 from corvine.scratch import cut
 from corvine.sources.tables import rows_once, table
@@ -820,6 +821,22 @@ def pull_review_patches(spark: SparkSession, root: str) -> DataFrame:
     return docs.select("doc_id", S.clipped(F.col("text"), 1500, "\n… (patch truncated)").alias("patch"))
 
 
+@query(
+    f"""WITH {_RUNS} SELECT repo_id, path, content_hash, state FROM (SELECT repo_id, path, content_hash, 'kept' AS state FROM old WHERE repo_id NOT IN (SELECT repo_id FROM new)
+ UNION ALL SELECT new.repo_id, new.path, new.content_hash, CASE WHEN old.id IS NULL THEN 'new' WHEN new.content_hash IS NOT DISTINCT FROM old.content_hash THEN 'unchanged' ELSE 'changed' END FROM new LEFT JOIN old ON old.repo_id = new.repo_id AND old.path = new.path)""",
+    "files", "chunks", "file_edges",
+)
+def index_run(f, c, e):
+    # the files as they were are indexed again from what came later; their texts are those of their chunks
+    old, new = (df.filter("repo_id is not null and path is not null") for df in _runs(f))
+    said = c.filter("content is not null").select(F.col("file_id").alias("id"), "start_line", F.col("id").alias("chunk_id"), "content")
+    # files beyond the walk's cap are never indexed, so no text that is put together is larger
+    small = said.groupBy("id").agg(F.sum(F.length("content") + 1).alias("n")).filter(F.col("n") <= LIMITS.file_bytes).select("id")
+    texts = said.join(small, "id", "left_semi").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    done = indexing.index_repositories(old, c, e, new.join(texts, "id", "left"))
+    return done.files.join(done.states, ["repo_id", "path"], "left").select("repo_id", "path", "content_hash", F.coalesce("state", F.lit("kept")).alias("state"))
+
+
 # Streaming ----------------------------------------------------------------------------------------------
 
 
@@ -841,16 +858,22 @@ def job_progress(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queue_once(spark: SparkSession, root: str) -> DataFrame:
-    """The job queue as a stream: each job id is taken once, however often it is delivered."""
-    stream = spark.readStream.schema(SCHEMAS["index_jobs"]).parquet(f"{root}/index_jobs.parquet*")
-    jobs = stream.filter("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("job_id"), "repo_id", "status")
-    return events.drain(jobs, spark, "queue")
+    """Jobs taken from a stream of their rows: each id once, however often it is delivered."""
+    stream = spark.readStream.schema(SCHEMAS["index_jobs"]).option("maxFilesPerTrigger", 4).parquet(f"{root}/index_jobs.parquet*")
+    return events.take_once(stream, spark)
+
+
+def incremental_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files as a stream of indexing runs leaves them: the last row of each path."""
+    stream = spark.readStream.schema(SCHEMAS["files"]).option("maxFilesPerTrigger", 4).parquet(f"{root}/files.parquet*")
+    return events.index_changes(stream.filter("id is not null"), spark)[0].select("repo_id", "path", "id", "content_hash")
 
 
-QUERIES |= {f.__name__: f for f in (chunk_documents, pull_review_patches, push_requests, job_progress, queue_once)}
+QUERIES |= {f.__name__: f for f in (chunk_documents, pull_review_patches, push_requests, job_progress, queue_once, incremental_files)}
 SQL |= {
     "pull_review_patches": "SELECT doc_id, CASE WHEN len(text) > 1500 THEN concat(substring(text, 1, 1500), chr(10), '… (patch truncated)') ELSE text END AS patch FROM documents WHERE source = 'pr_review' AND text IS NOT NULL",
-    "queue_once": "SELECT DISTINCT id AS job_id, repo_id, status FROM index_jobs WHERE id IS NOT NULL",
+    "queue_once": "SELECT DISTINCT id AS job_id, repo_id, status FROM index_jobs WHERE id IS NOT NULL AND repo_id IS NOT NULL",
+    "incremental_files": "SELECT repo_id, path, id, content_hash FROM (SELECT DISTINCT ON (id) * FROM files WHERE id IS NOT NULL AND repo_id IS NOT NULL AND path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY created_at DESC NULLS LAST, id DESC) = 1",
     "push_requests": r"""WITH r AS (SELECT DISTINCT ON (id) *, lower(regexp_replace(regexp_replace(trim(github_url), '^https?://', ''), '(\.git)?/*$', '')) AS url FROM repos)
  SELECT concat('push-', a.id) AS job_id, b.id AS repo_id, a.url AS url FROM r a JOIN r b ON a.url = b.url WHERE a.default_branch <> '' AND NOT coalesce(a.status = 'failed', false)""",
     "job_progress": "SELECT repo_id, epoch_us(created_at) AS created_at, id, status, CAST(greatest(0, least(100, coalesce(progress, 0))) AS INTEGER) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS LAST, id DESC) AS k FROM (SELECT DISTINCT ON (id) * FROM index_jobs WHERE repo_id IS NOT NULL)) WHERE k = 1",

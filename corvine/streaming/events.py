@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvine.functions import scalars as S
+from corvine.operators import dml
 from corvine.scratch import shared_dir
 
 PUSH = T.StructType().add("ref", "string").add("deleted", "boolean").add("repository", T.StructType().add("html_url", "string").add("default_branch", "string").add("full_name", "string"))
@@ -76,3 +77,70 @@ def job_progress(jobs: DataFrame) -> DataFrame:
     at = F.struct("created_at", "id", "status", "progress")
     rows = jobs.filter("repo_id is not null").groupBy("repo_id").agg(F.max(at).alias("j"))
     return rows.select("repo_id", "j.created_at", "j.id", "j.status", S.clamp_progress(F.coalesce("j.progress", F.lit(0))).alias("progress"))
+
+
+def _run(stream: DataFrame, save, root: str) -> None:
+    """Run ``save(batch, number)`` over what is there; the checkpoint lets a rerun continue where it stopped."""
+    query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def take_once(jobs: DataFrame, spark: SparkSession, root: str | None = None) -> DataFrame:
+    """(job_id, repo_id, status): each job of a stream taken once, however often and in whatever batch it comes.
+
+    Jobs without an id or a repository are refused. The table of taken jobs is the only state: a batch
+    adds the ids that no other batch added, into a folder of its own, so a batch that runs again after a
+    loss writes the same rows again.
+    """
+    root = root or f"{shared_dir(spark)}/corvine/queue-{uuid.uuid4().hex}"
+    rows = jobs.filter("id is not null and repo_id is not null").select(F.col("id").alias("job_id"), "repo_id", "status")
+    taken = lambda: spark.read.schema("job_id string, repo_id string, status string, batch long").parquet(f"{root}/taken")
+
+    def save(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(["job_id"])
+        if number:
+            new = new.join(taken().filter(F.col("batch") < number).select("job_id"), "job_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/taken/batch={number}")
+
+    _run(rows, save, root)
+    return taken().drop("batch")
+
+
+def index_changes(files: DataFrame, spark: SparkSession, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, changes): a stream of file rows folded into a snapshot by content hash.
+
+    ``snapshot`` (repo_id, path, id, content_hash, created_at) holds the last row of each path; ``changes``
+    (batch, repo_id, path, state) what each batch made of it: new, changed or unchanged. Rows older than
+    the snapshot's change nothing. Each batch joins the snapshot of the one before and writes the next,
+    so memory does not grow; the last two are kept.
+    """
+    root = root or f"{shared_dir(spark)}/corvine/index-{uuid.uuid4().hex}"
+    rows = files.filter("repo_id is not null and path is not null").select("repo_id", "path", "id", "content_hash", "created_at")
+    keys = ["repo_id", "path"]
+    at = lambda d: F.struct(F.coalesce(F.unix_micros(F.col(f"{d}.created_at").cast("timestamp")), F.lit(-(2**62))), F.col(f"{d}.id"))
+    last = {"number": -1}
+
+    def save(batch: DataFrame, number: int) -> None:
+        newest = dml.latest_by(batch, keys)
+        old = spark.read.schema(rows.schema).parquet(f"{root}/snapshot/{number - 1}") if number else newest.limit(0)
+        both = old.alias("o").join(newest.alias("n"), [F.col("o.repo_id") == F.col("n.repo_id"), F.col("o.path") == F.col("n.path")], "full_outer")
+        wins = F.col("o.id").isNull() | (F.col("n.id").isNotNull() & (at("n") > at("o")))
+        state = F.when(F.col("o.id").isNull(), "new").when(wins & ~F.col("n.content_hash").eqNullSafe(F.col("o.content_hash")), "changed").otherwise("unchanged")
+        both.select(*[F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rows.columns]).write.mode("overwrite").parquet(f"{root}/snapshot/{number}")
+        both.filter(F.col("n.path").isNotNull()).select(F.col("n.repo_id").alias("repo_id"), F.col("n.path").alias("path"), state.alias("state")).write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+        if number > 1:
+            _drop(spark, f"{root}/snapshot/{number - 2}")
+        last["number"] = number
+
+    _run(rows, save, root)
+    if last["number"] < 0:
+        return spark.createDataFrame([], rows.schema), spark.createDataFrame([], "batch long, repo_id string, path string, state string")
+    changes = spark.read.schema("repo_id string, path string, state string, batch long").parquet(f"{root}/changes")
+    return spark.read.schema(rows.schema).parquet(f"{root}/snapshot/{last['number']}"), changes.select("batch", "repo_id", "path", "state")

@@ -430,3 +430,76 @@ def test_scalar_queries_shuffle_no_texts(spark):
     plan = chunks.select("id", S.token_estimate(F.col("content")).alias("tokens")).dropDuplicates(["id"])._jdf.queryExecution().executedPlan().toString()
     exchange = next(x for x in plan.split("\n") if "Exchange" in x)
     assert "content" not in exchange
+
+
+def test_jobs_are_taken_once_over_batches(spark, tmp_path):
+    shape = "id string, repo_id string, status string"
+    rows = [[("a", "r", "queued"), ("b", "r", "queued"), ("a", "r", "queued")], [("b", "r", "queued"), ("c", "r", "failed"), (None, "r", "x"), ("d", None, "x")], [("a", "r", "queued")]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = events.take_once(stream, spark, f"file://{tmp_path}/out")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "r", "queued"), ("b", "r", "queued"), ("c", "r", "failed")]
+    # a second run over the same checkpoint finds nothing new
+    assert events.take_once(stream, spark, f"file://{tmp_path}/out").count() == 3
+
+
+def test_index_changes_over_batches(spark, tmp_path):
+    import time
+
+    shape = "id string, repo_id string, path string, content_hash string, created_at timestamp"
+    day = lambda d: dt.datetime(2025, 1, d)
+    batches = [[("1", "r", "a", "h1", day(1)), ("2", "r", "b", "h2", day(1))], [("3", "r", "a", "h3", day(2)), ("4", "r", "c", "h4", day(2))], [("5", "r", "a", "h0", day(1)), ("6", "r", "b", "h2", day(3)), (None, None, "x", None, None)]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, shape).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(1.1)  # files are taken in the order of their time
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    snapshot, changes = events.index_changes(stream, spark, f"file://{tmp_path}/out")
+    assert sorted((r["path"], r["id"], r["content_hash"]) for r in snapshot.collect()) == [("a", "3", "h3"), ("b", "6", "h2"), ("c", "4", "h4")]
+    assert sorted((r["batch"], r["path"], r["state"]) for r in changes.collect()) == [(0, "a", "new"), (0, "b", "new"), (1, "a", "changed"), (1, "c", "new"), (2, "a", "unchanged"), (2, "b", "unchanged")]
+    assert sorted(p.name for p in (tmp_path / "out/snapshot").iterdir()) == ["1", "2"]
+
+
+def test_indexing_run(spark):
+    from corvine.operators import indexing
+
+    now = dt.datetime(2025, 1, 1)
+    shape = "id string, repo_id string, path string, language string, content_hash string, size_bytes long, created_at timestamp"
+    files = spark.createDataFrame([("a", "r", "src/a.ts", "typescript", "h1", 1, now), ("b", "r", "src/b.ts", "typescript", "h2", 1, now), ("old", "r", "src/old.ts", None, "h3", 1, now), ("z", "s", "z.py", "python", "h9", 1, now)], shape)
+    chunks = spark.createDataFrame([(f"k{x}", x, f"text of {x}", [1.0]) for x in ("a", "b", "old", "z")], "id string, file_id string, content string, embedding array<float>")
+    edges = spark.createDataFrame([("a", "b", "import"), ("a", "old", "import"), ("b", "a", "import"), ("z", "z2", "import")], "source_file_id string, target_file_id string, edge_type string")
+    incoming = spark.createDataFrame(
+        [("n1", "r", "src/a.ts", "typescript", "h1", 1, now, "unchanged"), ("n2", "r", "src/b.ts", "typescript", "new", 2, now, "import { c } from './c';\nimport x from 'react';\nexport function b() {\n  return c;\n}\n"), ("n3", "r", "src/c.ts", "typescript", "hc", 1, now, "export const c = 1;\n"), ("n4", "r", "empty.md", None, "he", 0, now, None)],
+        shape + ", text string",
+    )
+    done = indexing.index_repositories(files, chunks, edges, incoming)
+    assert {(r["id"], r["path"], r["content_hash"]) for r in done.files.collect()} == {("a", "src/a.ts", "h1"), ("b", "src/b.ts", "new"), ("n3", "src/c.ts", "hc"), ("n4", "empty.md", "he"), ("z", "z.py", "h9")}
+    assert {(r["path"], r["state"]) for r in done.states.collect()} == {("src/a.ts", "unchanged"), ("src/b.ts", "changed"), ("src/c.ts", "new"), ("empty.md", "new"), ("src/old.ts", "orphan")}
+    assert {tuple(r) for r in done.edges.collect()} == {("a", "b", "import"), ("b", "n3", "import"), ("z", "z2", "import")}
+    got = {(r["file_id"], r["content"]) for r in done.chunks.collect()}
+    assert {("a", "text of a"), ("z", "text of z")} < got and {f for f, _ in got} == {"a", "b", "n3", "z"} and ("b", "text of b") not in got
+    assert done.chunks.filter("embedding is null").count() == 0
+
+
+def test_table_changes(spark):
+    held = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "id string, n int, note string")
+    more = spark.createDataFrame([("b", 9), ("c", 3), ("c", 3), (None, 4)], "id string, n int")
+    assert sorted(tuple(r) for r in dml.insert_rows(held, more).collect()) == [("a", 1, "x"), ("b", 2, None), ("c", 3, None)]
+    new = spark.createDataFrame([("b", "y"), ("b", "y"), ("z", "q"), ("a", None)], "id string, note string")
+    assert sorted(tuple(r) for r in dml.write_back(held, new, "note").collect()) == [("a", 1, "x"), ("b", 2, "y")]
+
+
+def test_split_lines_is_whole_and_linear():
+    text = "\n".join(f"line {i} " + "😀" * (i % 5) for i in range(2000))
+    pieces = chunking.split_lines(("f", "function", 10, 2009, text), most=50)
+    assert "\n".join(p[4] for p in pieces) == text and all(chunking.tokens(p[4]) >= 50 for p in pieces[:-1])
+    assert all(p[2] + p[4].count("\n") == p[3] for p in pieces) and pieces[0][2] == 10 and pieces[-1][3] == 2009
+    assert all(chunking.tokens(p[4].rsplit("\n", 1)[0]) < 50 for p in pieces if "\n" in p[4])
+
+
+def test_tree_cap_and_skipped_folders(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "sub/c.txt", "sub/deep/d.txt", "node_modules/x/e.js", "sub/node_modules/f.js"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = {r["path"]: r["reason"] for r in read_tree(spark, str(tmp_path), file_count=3).collect()}
+    assert {p for p, r in got.items() if r is None} == {"a.txt", "b.txt", "sub/c.txt"} and got["sub/deep/d.txt"] == "file_count"
