@@ -554,6 +554,19 @@ def full_text_or(c):
     return retrieval.full_text_search(c, "handles OR queues")
 
 
+_NEG = [_forms(c, w) for w in ("handl(e|es|ed|ing)", "widgets?", "queues?", "locales?") for c in ("symbol_name", "content")]
+_SUMS = [f"(1.0 * {_NEG[i]} + 0.4 * {_NEG[i + 1]})" for i in (0, 2, 4, 6)]
+
+
+@query(
+    f"""SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT id AS chunk_id, CAST(round((CASE WHEN {_SUMS[1]} = 0 THEN {_SUMS[0]} ELSE 0 END) + (CASE WHEN {_SUMS[3]} = 0 THEN {_SUMS[2]} ELSE 0 END), 6) AS DOUBLE) AS score
+ FROM c WHERE ({_SUMS[0]} > 0 AND {_SUMS[1]} = 0) OR ({_SUMS[2]} > 0 AND {_SUMS[3]} = 0) ORDER BY score DESC, chunk_id LIMIT 10)""",
+    "chunks", raw=True,
+)
+def full_text_negation(c):
+    return retrieval.full_text_search(c, "handles -widget OR queues -locale")
+
+
 @query(None, "chunks", raw=True)
 def full_text_cover(c):
     return retrieval.full_text_search(c, 'handles -widget OR "shard queue"')
@@ -869,8 +882,29 @@ def incremental_files(spark: SparkSession, root: str) -> DataFrame:
     return events.index_changes(stream.filter("id is not null"), spark)[0].select("repo_id", "path", "id", "content_hash")
 
 
+_WIDE = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNITS = "CAST(ceil((len({0}) + len(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) / 4.0) AS BIGINT)"
+_NL = "len({0}) - len(replace({0}, chr(10), ''))"
+
+#: Paragraphs folded one after the other: a held piece, and what is emitted at each step.
+_TEXT_CHUNKS = f"""WITH RECURSIVE t AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
+ z AS (SELECT *, NOT regexp_full_match(line, '{_WIDE}*') AS said FROM l),
+ g AS (SELECT *, sum(CASE WHEN said THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM z),
+ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, min(pos) AS spot, string_agg(line, chr(10) ORDER BY pos) AS body FROM g WHERE said GROUP BY doc_id, para)),
+ f AS (SELECT doc_id, k, n, spot AS held_at, body AS held, CAST(NULL AS BIGINT) AS out_at, CAST(NULL AS VARCHAR) AS out FROM b WHERE k = 1
+  UNION ALL SELECT doc_id, k, n, CASE WHEN step = 'grow' THEN held_at WHEN step = 'close' THEN NULL ELSE spot END, CASE WHEN step = 'grow' THEN both_ WHEN step = 'close' THEN NULL ELSE body END,
+   CASE WHEN step IN ('full', 'close') THEN held_at END, CASE WHEN step = 'full' THEN held WHEN step = 'close' THEN both_ END
+  FROM (SELECT b.doc_id, b.k, b.n, b.spot, b.body, f.held_at, f.held, concat(f.held, chr(10), chr(10), b.body) AS both_,
+   CASE WHEN f.held IS NULL THEN 'begin' WHEN {_UNITS.format("concat(f.held, chr(10), chr(10), b.body)")} > {LIMITS.max_chunk_tokens} THEN 'full' WHEN {_UNITS.format("concat(f.held, chr(10), chr(10), b.body)")} >= {LIMITS.min_chunk_tokens} THEN 'close' ELSE 'grow' END AS step
+   FROM f JOIN b ON b.doc_id = f.doc_id AND b.k = f.k + 1)),
+ e AS (SELECT doc_id, k * 2 AS o, out_at AS spot, out AS body FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, k * 2 + 1, held_at, held FROM f WHERE k = n AND held IS NOT NULL)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS piece, CAST(NULL AS VARCHAR) AS symbol_name, 'other' AS symbol_type, CAST(spot AS INTEGER) AS start_line, CAST(spot + {_NL.format("body")} AS INTEGER) AS end_line, body AS content FROM e
+ UNION ALL SELECT doc_id, 0, NULL, 'module', 1, CAST({_NL.format("text")} + 1 AS INTEGER), text FROM t WHERE doc_id NOT IN (SELECT doc_id FROM b)"""
+
 QUERIES |= {f.__name__: f for f in (chunk_documents, pull_review_patches, push_requests, job_progress, queue_once, incremental_files)}
 SQL |= {
+    "chunk_documents": _TEXT_CHUNKS,
     "pull_review_patches": "SELECT doc_id, CASE WHEN len(text) > 1500 THEN concat(substring(text, 1, 1500), chr(10), '… (patch truncated)') ELSE text END AS patch FROM documents WHERE source = 'pr_review' AND text IS NOT NULL",
     "queue_once": "SELECT DISTINCT id AS job_id, repo_id, status FROM index_jobs WHERE id IS NOT NULL AND repo_id IS NOT NULL",
     "incremental_files": "SELECT repo_id, path, id, content_hash FROM (SELECT DISTINCT ON (id) * FROM files WHERE id IS NOT NULL AND repo_id IS NOT NULL AND path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY created_at DESC NULLS LAST, id DESC) = 1",
