@@ -37,7 +37,8 @@ def lay_blocks(df: DataFrame, group: str, order: list[str], *, block_rows: int =
     """``df`` in sorted blocks of about ``block_rows`` rows, numbered by ``_block``, as a written table.
 
     Blocks come from a range partitioning by (group, order), so one group may fill many of them and no
-    task holds a whole group. Their number follows from the number of rows.
+    task holds a whole group. Their number follows from the number of rows. ``df`` should be cheap to
+    read, as it is counted and sampled before it is laid.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-df.count() // block_rows))

@@ -36,16 +36,17 @@ def _clean(messages: DataFrame) -> DataFrame:
     return rows.filter("id is not null and conversation_id is not null").dropDuplicates(["id"])
 
 
-def linked_turns(messages: DataFrame) -> DataFrame:
+def linked_turns(messages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(conversation_id, id, role, content, created_at, block, parent_id, link_score): the turns and their links.
 
     A row for each message that has a conversation, a time, and something visible to read, without direct
     repetitions (role and content of the row before). ``parent_id`` is null for roots. At equal times
     the user comes first, then the smaller id. Rows with equal id count once. Rows with any other role
     stay in order but are never linked. ``block`` numbers the sorted blocks in which a conversation lies.
-    Further columns are ignored.
+    Further columns are ignored. ``rows`` are the messages as ``_clean`` gives them, if they are at hand.
     """
-    rows = _clean(messages).filter(F.col("created_at").isNotNull() & ~blank(F.col("content")))
+    rows = cut(_clean(messages), "messages") if rows is None else rows
+    rows = rows.filter(F.col("created_at").isNotNull() & ~blank(F.col("content")))
     rows = rows.withColumn("side", F.when(F.col("role") == "user", 0).otherwise(1))
     by = ["created_at", "side", "id"]
     order = Window.partitionBy("conversation_id", "_block").orderBy(*by)
@@ -85,7 +86,7 @@ def linked_turns(messages: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """(conversation_id, keep, known, n_turns, n_roots, n_branches, n_unanswered, reason) of every id in either table.
 
     A conversation is kept if it is in ``conversations``, all its message rows have a time and the role
@@ -96,7 +97,8 @@ def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | N
     without one. ``reason`` names the first rule that fails. All null columns, empty tables and
     conversations without messages are defined: such a conversation is dropped as ``empty``.
     """
-    turns = cut(linked_turns(messages), "turns") if turns is None else turns
+    rows = cut(_clean(messages), "messages") if rows is None else rows  # each id once, read by all that follows
+    turns = cut(linked_turns(messages, rows), "turns") if turns is None else turns
     replies = turns.filter("parent_id is not null").groupBy("conversation_id", F.col("parent_id").alias("id")).agg(F.count("*").alias("n_replies"))
     root, user = F.col("parent_id").isNull(), F.coalesce(F.col("role") == "user", F.lit(False))
     seen = turns.join(replies, ["conversation_id", "id"], "left").groupBy("conversation_id").agg(
@@ -107,7 +109,7 @@ def verdicts(conversations: DataFrame, messages: DataFrame, turns: DataFrame | N
         F.count_if(user & F.col("n_replies").isNull()).alias("n_unanswered"),
     )
     bad = F.col("created_at").isNull() | ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
-    rows = _clean(messages).groupBy("conversation_id").agg(F.count_if(bad).alias("n_bad"))
+    rows = rows.groupBy("conversation_id").agg(F.count_if(bad).alias("n_bad"))
     known = conversations.select(F.col("id").alias("conversation_id"), F.lit(True).alias("known")).filter("conversation_id is not null").distinct()
     both = known.join(rows, "conversation_id", "full_outer").join(seen, "conversation_id", "left")
     reason = (
@@ -145,8 +147,9 @@ def rebuilt(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 
     ``turn`` counts from 1: a running count inside each block, after the turns of the blocks before.
     """
-    turns = cut(linked_turns(messages), "turns")
-    keep = verdicts(conversations, messages, turns).filter("keep").select("conversation_id")
+    rows = cut(_clean(messages), "messages")
+    turns = cut(linked_turns(messages, rows), "turns")
+    keep = verdicts(conversations, messages, turns, rows).filter("keep").select("conversation_id")
     kept = link_trees(turns).join(keep, "conversation_id", "left_semi")
     sizes = kept.groupBy("conversation_id", "block").agg(F.count("*").alias("size"))
     before = Window.partitionBy("conversation_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
