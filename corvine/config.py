@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The limits within which repositories are indexed and queries answered.
 @dataclass(frozen=True)
 class Limits:
     repo_bytes: int = 100 * 1024 * 1024
@@ -30,6 +31,7 @@ class Limits:
 
 LIMITS = Limits()
 
+# Names of states, kinds and roles.
 REPO_STATUS = ("queued", "indexing", "ready", "failed")
 JOB_STATUS = ("queued", "cloning", "parsing", "embedding", "done", "failed")
 SYMBOL_TYPES = ("function", "class", "method", "module", "other")

@@ -12,6 +12,7 @@ from corvine.functions import values as V
 
 # Java's \s is ASCII; a script's trim also strips Unicode spaces and the byte order mark.
 _SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+# Fixed pattern: a path with an extension, a line and perhaps a last line.
 CITATION = r"([a-zA-Z0-9_./-]+\.[a-zA-Z]{1,6}):(\d+)(?:-(\d+))?"
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-# Directories that are never entered.
-SKIP_DIRS = (
-    ".git .hg .svn node_modules .next .turbo .cache .pytest_cache .mypy_cache .ruff_cache __pycache__ .venv venv .env "
-    "dist build out target coverage vendor .idea .vscode .gradle .bundle .DS_Store"
-).split()
+# Directories that are never entered.
+SKIP_DIRS = [
+    ".git", ".hg", ".svn", "node_modules", ".next", ".turbo", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pycache__", ".venv", "venv",
+    ".env", "dist", "build", "out", "target", "coverage", "vendor", ".idea", ".vscode", ".gradle", ".bundle", ".DS_Store",
+]
 
-# Files that are never indexed.
-SKIP_FILES = (
-    "package-lock.json pnpm-lock.yaml yarn.lock bun.lockb bun.lock composer.lock Pipfile.lock poetry.lock Cargo.lock "
-    "Gemfile.lock uv.lock Podfile.lock mix.lock .DS_Store Thumbs.db"
-).split()
+# Files that are never indexed.
+SKIP_FILES = [
+    "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "bun.lock", "composer.lock", "Pipfile.lock", "poetry.lock", "Cargo.lock",
+    "Gemfile.lock", "uv.lock", "Podfile.lock", "mix.lock", ".DS_Store", "Thumbs.db",
+]
 
-# Base names that may hold secrets, without case.
+# Base names that may hold secrets, without case.
 SECRET_NAMES = (
     r"^\.env(\..+)?$",
     r"\.pem$",
@@ -32,58 +32,80 @@ SECRET_NAMES = (
     r"^\.pypirc$",
 )
 
-# Extensions of binary files.
-BINARY_EXTENSIONS = (
-    "png jpg jpeg gif bmp ico webp tif tiff avif svg mp4 mov mkv webm avi wmv mp3 wav ogg flac m4a zip tar gz tgz bz2 7z rar xz "
-    "pdf doc docx xls xlsx ppt pptx ttf otf woff woff2 eot exe dll so dylib a o obj class jar war wasm pyc pyo bin "
-    "onnx pt ckpt safetensors h5 pb pack idx"
-).split()
+# Extensions of binary files.
+BINARY_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "tif", "tiff", "avif", "svg", "mp4", "mov", "mkv", "webm", "avi", "wmv", "mp3", "wav", "ogg",
+    "flac", "m4a", "zip", "tar", "gz", "tgz", "bz2", "7z", "rar", "xz", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "ttf", "otf", "woff",
+    "woff2", "eot", "exe", "dll", "so", "dylib", "a", "o", "obj", "class", "jar", "war", "wasm", "pyc", "pyo", "bin", "onnx", "pt", "ckpt",
+    "safetensors", "h5", "pb", "pack", "idx",
+]
 
-# Languages with their extensions.
-LANGUAGE_EXTENSIONS = {
-    "typescript": "ts tsx mts cts",
-    "javascript": "js jsx mjs cjs",
-    "python": "py pyi",
+# The language of an extension.
+EXTENSION_LANGUAGE = {
+    "ts": "typescript",
+    "tsx": "typescript",
+    "mts": "typescript",
+    "cts": "typescript",
+    "js": "javascript",
+    "jsx": "javascript",
+    "mjs": "javascript",
+    "cjs": "javascript",
+    "py": "python",
+    "pyi": "python",
     "go": "go",
-    "rust": "rs",
+    "rs": "rust",
     "java": "java",
-    "kotlin": "kt kts",
+    "kt": "kotlin",
+    "kts": "kotlin",
     "scala": "scala",
-    "c": "c h",
-    "cpp": "cc cpp cxx hpp hxx",
-    "csharp": "cs",
-    "fsharp": "fs",
-    "ruby": "rb",
+    "c": "c",
+    "h": "c",
+    "cc": "cpp",
+    "cpp": "cpp",
+    "cxx": "cpp",
+    "hpp": "cpp",
+    "hxx": "cpp",
+    "cs": "csharp",
+    "fs": "fsharp",
+    "rb": "ruby",
     "php": "php",
     "swift": "swift",
-    "html": "html htm",
+    "html": "html",
+    "htm": "html",
     "css": "css",
     "scss": "scss",
     "less": "less",
-    "json": "json jsonc",
-    "yaml": "yml yaml",
+    "json": "json",
+    "jsonc": "json",
+    "yml": "yaml",
+    "yaml": "yaml",
     "toml": "toml",
     "xml": "xml",
-    "shell": "sh bash zsh fish",
-    "powershell": "ps1",
-    "markdown": "md mdx",
-    "restructuredtext": "rst",
+    "sh": "shell",
+    "bash": "shell",
+    "zsh": "shell",
+    "fish": "shell",
+    "ps1": "powershell",
+    "md": "markdown",
+    "mdx": "markdown",
+    "rst": "restructuredtext",
     "sql": "sql",
-    "protobuf": "proto",
-    "graphql": "graphql gql",
+    "proto": "protobuf",
+    "graphql": "graphql",
+    "gql": "graphql",
     "vue": "vue",
     "svelte": "svelte",
     "dart": "dart",
-    "elixir": "ex exs",
-    "erlang": "erl",
-    "haskell": "hs",
+    "ex": "elixir",
+    "exs": "elixir",
+    "erl": "erlang",
+    "hs": "haskell",
     "lua": "lua",
     "r": "r",
-    "julia": "jl",
+    "jl": "julia",
 }
-EXTENSION_LANGUAGE = {e: k for k, v in LANGUAGE_EXTENSIONS.items() for e in v.split()}
 
-# Names without an extension that still have a language.
+# Names without an extension that still have a language.
 NAME_LANGUAGE = {
     "dockerfile": "dockerfile",
     "makefile": "make",
@@ -96,11 +118,11 @@ NAME_LANGUAGE = {
     ".eslintrc": "json",
 }
 
-# Kinds and labels of a status.
+# Kinds and labels of a status.
 STATUS_KIND = {"queued": "queued", "cloning": "running", "parsing": "running", "embedding": "running", "indexing": "running", "done": "ready", "ready": "ready", "failed": "failed"}
 STATUS_LABEL = {"queued": "Queued", "cloning": "Cloning", "parsing": "Parsing", "embedding": "Embedding", "indexing": "Indexing", "done": "Ready", "ready": "Ready", "failed": "Failed"}
 
-# Topics of the help responder: the first rule with a word found in the lower-cased text wins.
+# Topics of the help responder: the first rule with a word found in the lower-cased text wins.
 HELP_RULES = (
     ("index", ("index",)),
     ("search", ("search",)),

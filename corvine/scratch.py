@@ -33,12 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has cut so far; to be called when no result of it is read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Unlike an eager checkpoint this evaluates the plan once, and the columnar copy can be pruned.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvine/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

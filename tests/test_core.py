@@ -503,3 +503,16 @@ def test_tree_cap_and_skipped_folders(spark, tmp_path):
         (tmp_path / name).write_text("x")
     got = {r["path"]: r["reason"] for r in read_tree(spark, str(tmp_path), file_count=3).collect()}
     assert {p for p, r in got.items() if r is None} == {"a.txt", "b.txt", "sub/c.txt"} and got["sub/deep/d.txt"] == "file_count"
+
+
+def test_cut_tables_are_swept(tmp_path, spark):
+    from pathlib import Path
+
+    from corvine import scratch
+
+    df = scratch.cut(spark.range(3), "numbers")
+    folder = Path(scratch._own(spark).removeprefix("file://"))
+    assert df.count() == 3 and folder.is_dir()
+    scratch.sweep(spark)
+    assert not folder.exists()
+    assert scratch.cut(spark.range(2), "numbers").count() == 2
