@@ -43,6 +43,8 @@ def dependencies(files: DataFrame, edges: DataFrame, limit: int = LIMITS.depende
     out = e.select(F.col("source").alias("file_id"), F.lit("imports").alias("direction"), F.col("target").alias("id"))
     into = e.select(F.col("target").alias("file_id"), F.lit("imported_by").alias("direction"), F.col("source").alias("id"))
     rows = out.unionByName(into).join(paths, "id").join(paths.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    if only is not None:
+        rows = rows.join(only.select("file_id"), "file_id", "left_semi")
     order = Window.partitionBy("file_id", "direction").orderBy("path", "id")
     return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("file_id", "direction", "path")
 
