@@ -49,11 +49,11 @@ def cosine_to(query: list[float]):
 def _top(rows: DataFrame, k: int) -> DataFrame:
     """(chunk_id, score, rank): the k best ids of (chunk_id, score); ties go to the smaller id.
 
-    Repeated rows share a dense rank, and Spark applies the limit on it inside each task (up to its
+    Rows without a score drop out. Repeated rows share a dense rank, and Spark applies the limit on it inside each task (up to its
     ``windowGroupLimitThreshold`` of 1000), so about k rows of each task are shuffled, not all of them.
     """
     order = Window.orderBy(F.desc("score"), "chunk_id")
-    few = rows.withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= k)
+    few = rows.withColumn("n", F.dense_rank().over(order)).filter((F.col("n") <= k) & F.col("score").isNotNull())
     best = few.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
     return best.withColumn("rank", F.row_number().over(order).cast("long"))
 
@@ -198,8 +198,9 @@ def full_text_search(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
         scores.append(F.coalesce(cover_density(F.col(f"alt{n}"), len(terms)), F.lit(0.0)))
     if not scores:
         return nothing
-    rows = rows.filter(any_of(flags))
-    return _top(rows.select(F.col("id").alias("chunk_id"), F.round(functools.reduce(operator.add, scores), 6).alias("score")), k)
+    # no filter here: Spark would move it below and cut and stem every text twice
+    total = F.when(any_of(flags), F.round(functools.reduce(operator.add, scores), 6))
+    return _top(rows.select(F.col("id").alias("chunk_id"), total.alias("score")), k)
 
 
 def _with_term(terms: list[str]):
