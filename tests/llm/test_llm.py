@@ -491,6 +491,47 @@ def test_made_cases_hold_their_defect():
     assert list(defects.made_cases([(None, "x", None), ("q", None, None)])) == []
 
 
+def test_labelled_cases_are_made_of_every_answer(spark, monkeypatch):
+    n, models, cutoffs = 3000, [], []
+
+    class Spied(defects.LabelModel):
+        def __init__(self, n_functions, counts, cases=None, **more):
+            models.append((sum(counts.values()), sum((cases or {}).values())))
+            super().__init__(n_functions, counts, cases, **more)
+
+    def spied(posteriors, judged):
+        cutoffs.append([(sum(cases.values()), sum(others.values())) for _, cases, others in judged])
+        return best(posteriors, judged)
+
+    best = getattr(defects, "best_cutoff", None)
+    monkeypatch.setattr(defects, "LabelModel", Spied)
+    monkeypatch.setattr(defects, "best_cutoff", spied, raising=False)
+    rows = spark.range(2 * n).selectExpr(
+        "concat('m', id) as id", "concat('c', id div 2) as conversation_id", "if(id % 2 = 0, 'user', 'assistant') as role",
+        f"case when id % 2 = 0 then 'How does the loader work and why is it so slow?' when id >= {2 * n - 10} then '' else '{OK}' end as content",
+        "'[]' as parts", "timestamp_seconds(id) as created_at",
+    )
+    assert {tuple(r) for r in defects.one_label(rows).collect()} == {(f"m{i}", "empty") for i in range(2 * n - 9, 2 * n, 2)}
+    # blank answers count, but no case can be made of them; each sign has a model of all cases and one of either half's
+    assert {every for every, _ in models} == {n} and models[0] == (n, n - 5)
+    assert models[1][1] > 0 and models[2][1] > 0 and models[1][1] + models[2][1] == n - 5
+    # every case is held out once
+    assert sorted(x for x, _ in cutoffs[0]) == sorted(x for _, x in models[1:3]) and sum(x for _, x in cutoffs[0]) == n
+
+
+def test_votes_of_cases_are_those_of_their_texts():
+    fenced = f"{OK} {OK}\n```py\n" + "x = load(1)\ny = 2\n" * 4 + "```"
+    pairs = [("How does the loader work and why is it so slow?", fenced, "[]"), ("How does it run?", " \u200b".join("word" * 9), None), ("Why \u0130s it slow?", "I'M \u017forry, but I CAN'T help w\u0131th that. " * 2, "broken"), (None, OK, "[]"), ("How is it?", None, '[{"text": ""}]')]
+    pairs = pairs * 4 + [("Wie arbeitet der Lader und warum ist er so langsam?", "Der Lader hält die Liste sortiert, bis der Parser damit fertig ist und nicht mehr wartet. " * 9, '[{"state": "done"}]')]
+    texts = lambda x: x if x is None else "".join(x)
+    made = list(defects.made_cases(pairs))
+    for _, sign, (q, a, parts) in made:
+        assert defects.vote(sign, q, a, parts) == defects.votes(texts(q), texts(a), defects.json.dumps(parts))[sign]
+    # the only other language is lent at any distance
+    assert {i for i, sign, _ in made if sign == "language"} >= {0, 5, 10, 15, 20}
+    assert defects._lenders(["en", None, "en", "de", "fr", "en"]) == [3, None, 3, 4, 5, 3] and defects._lenders(["en", None, "en"]) == [None] * 3
+
+
 @needs_data
 def test_votes_are_more_than_labels(spark):
     messages = read(spark, "messages")
